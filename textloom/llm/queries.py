@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, packing
-from .common import new_path
+from . import binary, language, packing, quality, toxicity, transport
+from .common import new_path, remainder
 from .tokens import vocabulary_path
 
 
@@ -24,5 +24,32 @@ def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_segments(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_simple8b_tokens)}
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
+
+
+def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir).select("doc_id", "text", "lang"), remainder(4) == 2
+    return language.identify(docs, language.train(docs.where(~held)), held)
+
+
+def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "media")
+    transport.write_media(documents(spark, sf_dir), path)
+    return transport.read_media(spark, path)
+
+
+def op7_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(3) == 1
+    return toxicity.score(documents(spark, sf_dir), toxicity.train(labelled(spark, sf_dir).where(~held)), held)
+
+
+def op10_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), remainder(5) == 0
+    vectors = quality.word_vectors(docs)
+    return quality.score(docs, vectors, quality.train(labelled(spark, sf_dir).where(~held), vectors), held)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_cnn_language, op4_transport_streams, op5_simple8b_tokens, op7_noisy_or_toxicity, op10_random_indexing_quality)}
 ORACLE_SQL: dict[str, str] = {}
