@@ -28,6 +28,7 @@ from .tokens import encoder
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 1024
+NO_ID = -(1 << 63)  # stands for a null doc_id
 MAGIC = b"TLS8"
 
 
@@ -37,36 +38,39 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     padded = np.zeros(blocks * BLOCK, dtype=np.uint64)
     padded[:n] = ids
-    grid = padded.reshape(blocks, BLOCK)
     size = np.full(blocks, BLOCK)
     if blocks:
         size[-1] = n - (blocks - 1) * BLOCK
     limits = (np.uint64(1) << WIDTHS[1:].astype(np.uint64)) - np.uint64(1)
-    kind = np.searchsorted(limits, grid, side="left").astype(np.int8) + 1  # 15: needs the escape
-    column = np.arange(BLOCK, dtype=np.int16)
-    choice = np.zeros(grid.shape, dtype=np.int8)
-    for s in range(14, 0, -1):  # the smaller the selector, the more ids: written last, it wins
-        if not (kind <= s).any():
-            break
-        bad = np.where(kind > s, column, np.int16(BLOCK))
-        next_bad = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
-        fits = next_bad >= np.minimum(column + np.int16(COUNTS[s]), size[:, None])
-        choice[fits & (kind <= s)] = s
+    kind = np.searchsorted(limits, padded, side="left").astype(np.int8) + 1  # 15: needs the escape
+    wide = np.ones((blocks, BLOCK + 60), dtype=np.int8)  # what follows a block fits anywhere
+    wide[:, :BLOCK] = kind.reshape(blocks, BLOCK) if blocks else 1
     at, taken = np.zeros(blocks, dtype=np.int64), []
-    live = np.flatnonzero(size > 0)
+    live = np.arange(blocks)
     while len(live):
-        s = choice[live, at[live]]
-        taken.append((live, at[live], s))
-        at[live] += COUNTS[s]
+        begin = at[live]
+        most = wide[live, begin]
+        choice = np.where(most > 14, 0, 14)
+        held = 1
+        for s in range(13, 0, -1):  # more ids a word at fewer bits, until no block has a run that fits
+            for j in range(held, COUNTS[s]):
+                most = np.maximum(most, wide[live, begin + j])
+            held = COUNTS[s]
+            fits = most <= s
+            if not fits.any():
+                break
+            choice[fits] = s
+        taken.append((live, begin, choice))
+        at[live] += COUNTS[choice]
         live = live[at[live] < size[live]]
     if not taken:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     row, col, sel = (np.concatenate(x) for x in zip(*taken, strict=True))
     order = np.lexsort((col, row))
     row, col, sel = row[order], col[order], sel[order]
-    wide = 1 + (sel == 0)
-    first = np.cumsum(wide) - wide
-    words = np.zeros(int(wide.sum()), dtype=np.uint64)
+    room = 1 + (sel == 0)
+    first = np.cumsum(room) - room
+    words = np.zeros(int(room.sum()), dtype=np.uint64)
     flat = np.concatenate([padded, np.zeros(64, np.uint64)])
     # ids beyond the block's own must not leak into its last word
     for s in range(15):
@@ -158,8 +162,15 @@ def read_document(blob: bytes, nth: int) -> np.ndarray:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
-    """(doc_id, ids): the text's ids and the end id, as little-endian bytes of 16 bits if they fit, else of 32 bits with a leading byte 4."""
+    """(doc_id, part, ids): the text's ids and the end id, a leading byte 2 or 4 telling the bytes an id takes.
+
+    Parts are ranges of ascending ids.  Their limits come from one pass over the id column alone, so that no text is
+    encoded twice, as a range exchange on the encoded rows, which samples them first, would do.
+    """
     batch_rows(docs.sparkSession, 500)
+    rows = texts(docs)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limits = np.unique(np.array(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts), dtype=np.float64)) if parts > 1 else np.zeros(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
@@ -168,21 +179,22 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataF
             for text in batch.column(1).to_pylist():
                 ids = np.frombuffer(enc.encode(text) + end, dtype="<u4")
                 out.append(b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\x04" + ids.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            part = np.searchsorted(limits, batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), side="right")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32)), pa.array(out, pa.binary())], ["doc_id", "part", "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, part int, ids binary")
 
 
 def write_segments(encoded: DataFrame, path: str, most_ids: int = 1 << 19, most_docs: int = 1 << 14) -> None:
-    """Files in ascending doc_id order: part, segment, ids before it in its part, documents, ids, blob."""
+    """Ascending doc_id order: part, segment, ids before it in its part, first document, documents, ids, blob."""
     spark = encoded.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
+    ordered = encoded.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[int] = []
         held: list[np.ndarray] = []
-        total = segment = before = 0
+        total = segment = before = part = 0
 
         def flush() -> pa.RecordBatch:
             blob = write_segment(docs, [len(x) for x in held], np.concatenate(held))
@@ -192,13 +204,18 @@ def write_segments(encoded: DataFrame, path: str, most_ids: int = 1 << 19, most_
             )
 
         for batch in batches:
-            for doc, ids, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: B007
+            for doc, ids, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if docs and at != part:
+                    yield flush()
+                    before = segment = total = 0
+                    docs, held = [], []
+                part = at
                 row = np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1)
                 if docs and (total + len(row) > most_ids or len(docs) >= most_docs):
                     yield flush()
                     before, segment = before + total, segment + 1
                     docs, held, total = [], [], 0
-                docs.append(doc)
+                docs.append(NO_ID if doc is None else doc)
                 held.append(row)
                 total += len(row)
         if docs:
@@ -223,7 +240,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                 begin = ends - lengths.astype(np.int64)
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs), pa.array(np.full(len(docs), part, np.int32)), pa.array(begin + before), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "at", "n_tokens", "ids_crc32"]
+                    [pa.array(docs, mask=docs == NO_ID), pa.array(np.full(len(docs), part, np.int32)), pa.array(begin + before), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "at", "n_tokens", "ids_crc32"]
                 )
 
     rows = stored.select("part", "before", "blob").mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")

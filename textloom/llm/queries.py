@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, language, packing, quality, toxicity, transport
+from . import binary, language, neardup, packing, quality, toxicity, transport
 from .common import new_path, remainder
 from .tokens import vocabulary_path
 
@@ -45,11 +45,15 @@ def op7_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), toxicity.train(labelled(spark, sf_dir).where(~held)), held)
 
 
+def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=3, percent=85, each=3)
+
+
 def op10_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), remainder(5) == 0
     vectors = quality.word_vectors(docs)
     return quality.score(docs, vectors, quality.train(labelled(spark, sf_dir).where(~held), vectors), held)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_cnn_language, op4_transport_streams, op5_simple8b_tokens, op7_noisy_or_toxicity, op10_random_indexing_quality)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_cnn_language, op4_transport_streams, op5_simple8b_tokens, op7_noisy_or_toxicity, op9_tensored_minhash, op10_random_indexing_quality)}
 ORACLE_SQL: dict[str, str] = {}
