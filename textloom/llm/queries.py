@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, language, neardup, packing, quality, toxicity, transport
+from . import binary, contamination, language, neardup, packing, quality, templates, toxicity, transport
 from .common import new_path, remainder
 from .tokens import vocabulary_path
 
@@ -40,11 +40,21 @@ def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.read_media(spark, path)
 
 
+def op6_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder(3) == 1
     return toxicity.score(documents(spark, sf_dir), toxicity.train(labelled(spark, sf_dir).where(~held)), held)
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.drop_templates(documents(spark, sf_dir).select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"), F.crc32(text.cast("binary")).alias("kept_crc32"))
+
+
 def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), words=3, percent=85, each=3)
 
@@ -55,5 +65,5 @@ def op10_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, vectors, quality.train(labelled(spark, sf_dir).where(~held), vectors), held)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_cnn_language, op4_transport_streams, op5_simple8b_tokens, op7_noisy_or_toxicity, op9_tensored_minhash, op10_random_indexing_quality)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_cnn_language, op4_transport_streams, op5_simple8b_tokens, op6_wand_decontamination, op7_noisy_or_toxicity, op8_line_templates, op9_tensored_minhash, op10_random_indexing_quality)}
 ORACLE_SQL: dict[str, str] = {}
