@@ -3,8 +3,11 @@
 A line goes down a tree of fixed depth: the number of its tokens, then its first ``DEPTH`` tokens, in which tokens
 with a digit are variable from the start.  In a leaf, a token at a place is constant if lines of enough documents
 have it there; all other places are variable fields.  Lines of a leaf with the same constants are a template, if
-these are at least ``SHARE`` of the tokens.  A template that recurs in enough documents is dropped from all of them
-but the one with the smallest doc_id.
+these are at least ``SHARE`` of the tokens.  A template that recurs in enough documents is dropped from all of them.
+
+Copies of one document share all of its lines, which makes none of them a template: copies are for near-duplicate
+removal, which must still find them alike.  So two minhashes of its leaves stand for each document, and
+a template must be in enough documents that differ in either, and in no more copies than such documents.
 
 A leaf is never gathered: constants are counted by (leaf, place, token), templates by their hash, so that the order of
 lines doesn't matter and a leaf with a third of all lines is summed like any other.  Leaves that too few documents
@@ -36,6 +39,7 @@ SHARE = 0.6
 MIN_DOCS = 5
 LONG, LONG_DOCS = 50, 3  # a line of so many tokens is a passage, and recurs from fewer documents on
 ANY = "<*>"
+LIKE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd factors of the two minhashes
 
 _DIGIT = re.compile(r"\d")
 
@@ -62,25 +66,27 @@ def need(n: str | Column = "n") -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, n, leaf, mask, fresh) of all lines that are not blank; fresh: the first such line of its row."""
+    """(doc_id, line, n, leaf, mask, fresh, like1, like2) of all lines that are not blank.
+
+    fresh: the first such line of its row; like1, like2: minhashes of the row's leaves.
+    """
     batch_rows(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = [(k, got) for k, line in enumerate(text.split("\n")) if (got := parse(line))]
+                like = [min(((got[1] * odd) & ((1 << 63) - 1) for _, got in own), default=0) for odd in LIKE]
                 seen = set()
-                for k, line in enumerate(text.split("\n")):
-                    got = parse(line)
-                    if got:
-                        n, leaf, mask, _ = got
-                        rows.append((doc, k, n, leaf, mask, mask not in seen))
-                        seen.add(mask)
+                for k, (n, leaf, mask, _) in own:
+                    rows.append((doc, k, n, leaf, mask, mask not in seen, *like))
+                    seen.add(mask)
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "line", "n", "leaf", "mask", "fresh"])
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "line", "n", "leaf", "mask", "fresh", "like1", "like2"])
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, n int, leaf long, mask long, fresh boolean")
+    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, n int, leaf long, mask long, fresh boolean, like1 long, like2 long")
 
 
 def masked_lines(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def masked_lines(docs: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def find_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line) of the lines to drop, and (template, n, constants, docs, keeper, example) of the recurring templates."""
+    """(doc_id, line) of the lines to drop, and (template, n, docs, constants, kinds, example) of the recurring templates."""
     lines = settle(parsed_lines(docs), "lines")
     groups = settle(lines.groupBy("leaf", "mask", "n").agg(F.sum(F.col("fresh").cast("long")).alias("docs")), "groups")
     leaves = settle(groups.groupBy("leaf", "n").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= need()).select("leaf", "n"), "leaves")
@@ -123,10 +129,13 @@ def find_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     named = fixed.where(F.col("constants") >= SHARE * F.col("n")).select("leaf", "mask", "n", "constants", F.xxhash64("leaf", "places").alias("template"))
     named = settle(named, "named")
-    found = settle(lines.select("doc_id", "line", "leaf", "mask").join(named, ["leaf", "mask"]).select("doc_id", "line", "template", "n", "constants"), "found")
-    across = found.groupBy("template", "n", "doc_id").agg(F.max("constants").alias("constants")).groupBy("template", "n").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"), F.max("constants").alias("constants"))
-    recurring = settle(across.where(F.col("docs") >= need()), "recurring")
-    drops = found.join(recurring.select("template", "keeper"), "template").where("doc_id <> keeper").select("doc_id", "line").distinct()
+    found = settle(lines.select("doc_id", "line", "leaf", "mask", "like1", "like2").join(named, ["leaf", "mask"]).select("doc_id", "line", "template", "n", "constants", "like1", "like2"), "found")
+    across = found.groupBy("template", "n").agg(
+        F.count_distinct("doc_id").alias("docs"), F.count_distinct("like1").alias("kinds1"), F.count_distinct("like2").alias("kinds2"), F.max("constants").alias("constants")
+    )
+    across = across.withColumn("kinds", F.least("kinds1", "kinds2")).drop("kinds1", "kinds2")
+    recurring = settle(across.where((F.col("kinds") >= need()) & (2 * F.col("kinds") >= F.col("docs"))), "recurring")
+    drops = found.join(recurring.select("template"), "template").select("doc_id", "line").distinct()
     examples = named.join(held.select("leaf", "mask", "masked"), ["leaf", "mask"]).groupBy("template").agg(F.min("masked").alias("example"))
     return drops, recurring.join(examples, "template")
 
