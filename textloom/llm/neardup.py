@@ -6,10 +6,11 @@ the square root of what as many independent tables need.  A pair of sets is miss
 one of the collections; ``plan`` takes the least n that keeps this below ``miss`` at the threshold itself.
 
 A key can only be shared if both of its halves are, so that sketches without a partner are dropped before keys are
-formed.  Equal sets are folded first.  The members of a key are compared with its smallest member; members
-that are then still in different components are compared one by one, those outside the key's largest component
-against the rest, so that no candidate pair between different components goes unconfirmed and a large group is
-never paired with itself.  All steps are joins and sums on tables in the shared folder.
+formed.  Equal sets are folded first.  The hub of a key is its member with the most company over all of its keys,
+which for a family of copies is their origin, and every document is compared with the weightiest hub it meets.
+Keys whose members are then in different components are taken up by hub: the members outside the hub's largest
+component are compared with all members, in blocks of bounded size that count intersections in place and return
+links only.  So every candidate pair is in one component or compared, no pair is written out, and no group is one task.
 
 Defined results: a null or empty text, and one without words, has an empty set and is linked with nothing; texts
 shorter than a shingle are one shingle; long texts are taken whole; repeated rows (equal doc_id) are returned as often
@@ -107,6 +108,10 @@ def full_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
+def _linked(same: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    return (same > 0) & (100 * same >= percent * (x + y - same))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     batch_rows(pairs.sparkSession, 500)
@@ -115,11 +120,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
+                both = np.sort(np.frombuffer(x + y, np.uint64), kind="stable")
+                same = np.count_nonzero(both[1:] == both[:-1])
+                keep.append(bool(_linked(np.int64(same), len(x) // 8, len(y) // 8, percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"))
@@ -127,6 +130,57 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
+def block_links(minor: pa.Table, members: pa.Table, percent: int) -> pa.Table:
+    """(a, b): of each minor document one linked member of every other component, from exact intersections."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not minor.num_rows or not members.num_rows:
+        return none
+    sides = [[np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()] for t in (minor, members)]
+    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in sides]
+    docs = [t.column("doc_id").to_numpy() for t in (minor, members)]
+    comps = [t.column("component").to_numpy() for t in (minor, members)]
+    flat = [np.concatenate(side) for side in sides]
+    words = np.unique(flat[0])
+    at = np.searchsorted(words, flat[1])
+    known = (at < len(words)) & (words[np.minimum(at, len(words) - 1)] == flat[1])
+    column = np.where(known, at, len(words))  # the last column stays empty
+    begin = np.cumsum(sizes[1]) - sizes[1]
+    own = np.searchsorted(words, flat[0])
+    first = np.cumsum(sizes[0]) - sizes[0]
+    a, b = [], []
+    step = 16
+    for k in range(0, len(sides[0]), step):
+        rows = range(k, min(k + step, len(sides[0])))
+        has = np.zeros((len(rows), len(words) + 1), dtype=np.uint8)
+        for i, r in enumerate(rows):
+            has[i, own[first[r] : first[r] + sizes[0][r]]] = 1
+        for i, r in enumerate(rows):
+            same = np.add.reduceat(has[i][column], begin, dtype=np.int64)
+            hit = np.flatnonzero(_linked(same, sizes[0][r], sizes[1], percent) & (comps[1] != comps[0][r]))
+            for j in hit[np.unique(comps[1][hit], return_index=True)[1]].tolist():
+                a.append(docs[0][r])
+                b.append(docs[1][j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+BLOCK = 1024  # documents a side
+
+
+def links_by_hub(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among the members of a hub; ``opened``: (hub, doc_id, component, is_minor)."""
+    count = opened.groupBy("hub").agg(F.count("*").alias("all"), F.sum(F.col("is_minor").cast("long")).alias("few"))
+    count = settle(count.select("hub", F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("few") / BLOCK).cast("int").alias("mb")), "blocks")
+    full = settle(opened.join(count, "hub").join(sets, "doc_id"), "opened")
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")
+    members = full.select("hub", "doc_id", "component", "hashes", mine.alias("j"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"))
+    minor = full.where("is_minor").select("hub", "doc_id", "component", "hashes", F.pmod(F.xxhash64("doc_id"), F.col("mb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return block_links(left, right, percent)
+
+    return minor.groupBy("hub", "i", "j").cogroup(members.groupBy("hub", "i", "j")).applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     number = plan(percent / 100, each)
@@ -140,30 +194,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: in
     own = halves.join(shared, ["k", "sketch"]).groupBy("doc_id", "n").agg(F.collect_list(F.struct("k", "sketch")).alias("own"))
     keys = own.select("doc_id", "n", F.explode(F.filter("own", lambda x: x.k < number)).alias("x"), "own").select("doc_id", "n", "x", F.explode(F.filter("own", lambda y: y.k >= number)).alias("y"))
     keys = settle(keys.select(F.xxhash64("x.k", "x.sketch", "y.k", "y.sketch").alias("key"), "doc_id", "n"), "keys")
-    hubs = settle(keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.max("doc_id").alias("hi")).where("hub.doc_id < hi").select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    members = settle(keys.join(hubs, "key"), "members")
-
-    def alike(n: str, m: str):
-        """Sets can only be linked if their sizes are within the threshold."""
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-    stars = members.where("doc_id <> hub").where(alike("n", "hub_n")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = settle(stars, "pairs")
-    wanted = members.select("doc_id").distinct()
-    sets = settle(full_sets(docs, words, settle(wanted, "wanted")), "full")
+    full = settle(keys.groupBy("key").count().where("count > 1"), "full")
+    met = settle(keys.join(full, "key"), "met")
+    weight = settle(met.groupBy("doc_id").agg(F.sum("count").alias("weight")), "weight")
+    weighed = settle(met.drop("count").join(weight, "doc_id"), "weighed")
+    rank = F.struct(F.col("weight"), (-F.col("doc_id")).alias("least"), F.col("n"))
+    hubs = settle(weighed.groupBy("key").agg(F.max(rank).alias("hub")), "hubs")
+    members = settle(weighed.select("key", "doc_id", "n").join(hubs, "key"), "members")
+
+    # each document against the weightiest hub among its keys; sizes beyond the threshold can't be linked
+    best = members.groupBy("doc_id", "n").agg(F.max("hub").alias("hub")).select((-F.col("hub.least")).alias("a"), F.col("doc_id").alias("b"), "n", F.col("hub.n").alias("hub_n"))
+    stars = settle(best.where("a <> b").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("a", "b"), "pairs")
+    sets = settle(full_sets(docs, words, weight.select("doc_id")), "full")
     links = settle(confirm(stars, sets, percent), "links")
     labels = components(links)
 
-    # members of a key that are in different components are compared one by one
-    placed = members.select("key", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = members.select("key", (-F.col("hub.least")).alias("hub"), "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = settle(placed, "placed")
-    sizes = placed.groupBy("key", "component").count()
-    largest = settle(sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("most.component").alias("major")), "open")
-    opened = settle(placed.join(largest, "key"), "opened")
-    minor = opened.where("component <> major").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    pairs = minor.join(opened.select("key", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy")), "key").where("cx <> cy").where(alike("nx", "ny"))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = settle(confirm(settle(pairs, "pairs"), sets, percent), "links")
+    mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
+    opened = settle(placed.join(mixed, "key").select("hub", "doc_id", "component").distinct(), "opened")
+    major = settle(opened.groupBy("hub", "component").count().groupBy("hub").agg(F.max(F.struct("count", "component")).alias("most")).select("hub", F.col("most.component").alias("major")), "major")
+    opened = settle(opened.join(major, "hub").select("hub", "doc_id", "component", (F.col("component") != F.col("major")).alias("is_minor")), "opened")
+    more = settle(links_by_hub(opened, sets, percent), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
 
