@@ -1 +1 @@
-"""Part of the textloom engine."""
+"""textloom: corpus curation, detector features and evaluation statistics as Spark DataFrame operators."""
