@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, contamination, language, neardup, packing, quality, templates, toxicity, transport
+from . import binary, contamination, language, neardup, packing, pseudonyms, quality, templates, toxicity, transport
 from .common import new_path, remainder
 from .tokens import vocabulary_path
 
@@ -24,6 +24,11 @@ def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_segments(spark, path)
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), b"textloom-production")
+    return out.select("doc_id", *(F.col(f"_found.{k}").alias(f"n_{k}") for k in pseudonyms.KINDS), "text")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
     return documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
@@ -65,5 +70,5 @@ def op10_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, vectors, quality.train(labelled(spark, sf_dir).where(~held), vectors), held)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_cnn_language, op4_transport_streams, op5_simple8b_tokens, op6_wand_decontamination, op7_noisy_or_toxicity, op8_line_templates, op9_tensored_minhash, op10_random_indexing_quality)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_feistel_pseudonyms, op3_byte_cnn_language, op4_transport_streams, op5_simple8b_tokens, op6_wand_decontamination, op7_noisy_or_toxicity, op8_line_templates, op9_tensored_minhash, op10_random_indexing_quality)}
 ORACLE_SQL: dict[str, str] = {}
