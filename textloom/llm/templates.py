@@ -6,7 +6,7 @@ have it there; all other places are variable fields.  Lines of a leaf with the s
 these are at least ``SHARE`` of the tokens.  A template that recurs in enough documents is dropped from all of them.
 
 Copies of one document share all of its lines, which makes none of them a template: copies are for near-duplicate
-removal, which must still find them alike.  So two minhashes of its leaves stand for each document, and
+removal, which must still find them alike.  So two minhashes of its other leaves stand for a line's document, and
 a template must be in enough documents that differ in either, and in no more copies than such documents.
 
 A leaf is never gathered: constants are counted by (leaf, place, token), templates by their hash, so that the order of
@@ -41,6 +41,7 @@ LONG, LONG_DOCS = 50, 3  # a line of so many tokens is a passage, and recurs fro
 ANY = "<*>"
 LIKE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd factors of the two minhashes
 
+_63 = (1 << 63) - 1
 _DIGIT = re.compile(r"\d")
 
 
@@ -68,7 +69,7 @@ def need(n: str | Column = "n") -> Column:
 def parsed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line, n, leaf, mask, fresh, like1, like2) of all lines that are not blank.
 
-    fresh: the first such line of its row; like1, like2: minhashes of the row's leaves.
+    fresh: the first such line of its row; like1, like2: minhashes of the row's other leaves, 0 if there are none.
     """
     batch_rows(docs.sparkSession, 500)
 
@@ -77,9 +78,11 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = [(k, got) for k, line in enumerate(text.split("\n")) if (got := parse(line))]
-                like = [min(((got[1] * odd) & ((1 << 63) - 1) for _, got in own), default=0) for odd in LIKE]
+                low = [sorted({leaf * odd & _63 for _, (_, leaf, _, _) in own})[:2] + [0] for odd in LIKE]
                 seen = set()
                 for k, (n, leaf, mask, _) in own:
+                    # of the other leaves: a leaf that many documents have must not stand for them itself
+                    like = [a if a != leaf * odd & _63 else b for odd, (a, b, *_) in zip(LIKE, low, strict=True)]
                     rows.append((doc, k, n, leaf, mask, mask not in seen, *like))
                     seen.add(mask)
             if rows:
