@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import contamination, neardup, packing, templates, toxicity
-from textloom.llm.common import new_path, settle
+from textloom.llm.common import new_path
 from textloom.llm.tokens import vocabulary_path
 
 TOXIC = 0.7  # a document of this score or more goes
@@ -20,8 +20,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Operator 7, trained on all labelled documents that are in ``docs``: documents it rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
-    bad = settle(toxicity.score(docs, model, threshold=TOXIC).where("predicted = 1").select("doc_id"), "toxic")
-    return docs.join(bad.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return toxicity.keep_clean(docs, model, TOXIC)
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +37,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents with a confirmed passage of a test item go."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = settle(contamination.contaminated(docs, benchmark).select("doc_id"), "leaks")
-    return docs.join(found.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return contamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from .common import batch_rows, settle, texts
 from .graph import components
 from .shingles import mix, shingle_sets
 
-CHUNK = 1 << 20  # bytes of text hashed at a time
+CHUNK = 1 << 18  # bytes of text hashed at a time
 
 
 def plan(threshold: float, each: int = 3, miss: float = 2e-4) -> int:
@@ -228,4 +228,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: in
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, each: int = 2) -> DataFrame:
     """The rows of ``docs`` but for those that a component keeps another document of; equal rows stay one."""
     found = near_duplicates(docs, words, percent, each).where("not kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    return docs.join(found.hint("merge"), "doc_id", "left_anti")  # copies may be most of a corpus: never a broadcast side

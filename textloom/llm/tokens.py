@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-MOST_WORDS = 250_000
-MOST_PIECES = 400_000
+MOST_WORDS = 200_000
+MOST_PIECES = 350_000
 
 #: The pre-token pattern of word_bpe_49k.json, spelt out for lower-case Latin-1 (a fixed value of that vocabulary).
 _LETTER = "a-zªµºß-öø-ÿ"

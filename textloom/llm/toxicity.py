@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence's probability is a logistic function of the weights of its distinct
-words and of their first characters, none of them negative, so that no harmless word can hide an offending one; the document's is the noisy-or of its sentences, and only documents have labels.  The
-gradient of a document's loss goes to each sentence in proportion to its own probability, so that training finds the
-offending sentences by itself; ``locate`` returns them.
+words and of their first characters, none of them negative, so that no harmless word can hide an offending one;
+the document's is the noisy-or of its sentences, and only documents have labels.  The gradient of a
+document's loss goes to each sentence in proportion to its own probability, so that training finds the offending
+sentences by itself; ``locate`` returns them.
 
 Defined results: null and empty texts have no sentence and score 0; repeated rows get equal results; long texts are
 scored whole; an empty table gives an empty one; further columns are not read.  Without a labelled row of either
@@ -165,7 +166,22 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, thresho
                 cols.append(pa.array([[{"sentence": i, "text": s, "p": p} for i, s, p in m.locate(t)] for t in texts], kind))
                 names.append("offending")
             yield pa.RecordBatch.from_arrays(cols, names)
+        m.known.clear()  # workers live on: what other stages need must not add to this
 
     schema = "doc_id long, held_out boolean, score double, predicted int"
     rows = docs.select(F.col("doc_id").cast("long"), (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held_out"), "text")
     return rows.mapInArrow(run, schema + (", offending array<struct<sentence: int, text: string, p: double>>" if with_spans else ""))
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, filtered where they are read, without a join."""
+    batch_rows(docs.sparkSession, 500)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        shared.value.known.clear()
+
+    return docs.mapInArrow(run, docs.schema)
