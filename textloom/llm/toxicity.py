@@ -26,7 +26,7 @@ from .common import batch_rows, label_sample
 
 MOST_DOCS = 6_000  # bound of the training sample
 HEADS = (4, 5)  # characters from a longer word's start that stand for it
-EPOCHS = 12
+EPOCHS, LEAST_STEPS, BATCH = 12, 1500, 32  # few documents are gone through more often
 TOXIC_WEIGHT = 1.5  # of a toxic document in the loss: they are the rarer
 LEAST_DOCS = 4  # training documents a feature must have
 MOST_WORDS = 300_000
@@ -113,10 +113,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 3
     w, gw = np.zeros(len(names)), np.full(len(names), 1e-3)
     bias, gb = -5.0, 1e-3
     rng, y = np.random.default_rng(seed), np.array(labels)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(bags))))):
         order = rng.permutation(len(bags))
-        for k in range(0, len(order), 32):
-            pick = [i for i in order[k : k + 32] if bags[i][2]]
+        for k in range(0, len(order), BATCH):
+            pick = [i for i in order[k : k + BATCH] if bags[i][2]]
             if not pick:
                 continue
             count = np.array([bags[i][2] for i in pick])
@@ -131,10 +131,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 3
             whole = -np.expm1(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), first))
             d = np.repeat(np.where(y[pick] == 1, TOXIC_WEIGHT * (whole - 1) / np.maximum(whole, 1e-9), 1.0), count) * p
             u, inv = np.unique(f, return_inverse=True)
-            g = np.bincount(inv, weights=d[at], minlength=len(u)) / 32 + ridge
+            g = np.bincount(inv, weights=d[at], minlength=len(u)) / BATCH + ridge
             gw[u] += g * g
             w[u] = np.maximum(w[u] - 0.3 * g / np.sqrt(gw[u]), 0)
-            total = d.sum() / 32
+            total = d.sum() / BATCH
             gb += total * total
             bias -= 0.2 * total / np.sqrt(gb)
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(bias))
