@@ -14,7 +14,7 @@ from textloom import plans
 HEADLINE = [
     "normalize_ws", "length_stats", "doc_windows", "window_stats", "regex_hits", "exact_dups", "ngram_rank", "chi2_terms", "stratified_split", "proportional_head",
     "doc_max_score", "auc_by_group", "roc_curve", "tpr_at_fpr", "cluster_bootstrap_rate", "bootstrap_auc_ci", "holm", "contract_metrics",
-    "tfidf", "kwta_codes", "bloom_score", "centroid_score", "inner_join", "spend_rollup", "stream_session",
+    "hashed_ngrams_xx", "kwta_codes", "bloom_score", "centroid_score", "inner_join", "spend_rollup", "stream_session",
 ]
 
 
