@@ -148,6 +148,60 @@ def test_templates(spark, odd, none):
     assert templates.drop_templates(none).count() == 0
 
 
+def brute_drops(rows):
+    """(doc_id, line) by the definition, with plain dicts: documents are brute-force components."""
+    parsed = {(d, k): p for d, t in rows for k, x in enumerate((t or "").split("\n")) if (p := templates.parse(x))}
+    need = lambda n: templates.LONG_DOCS if n >= templates.LONG else templates.MIN_DOCS
+    masks, leaves, constant = defaultdict(set), Counter(), Counter()
+    for (d, _), p in parsed.items():
+        masks[p].add(d)
+    for (n, leaf, _, masked), docs in masks.items():
+        leaves[leaf] += len(docs)
+        for place in enumerate(masked.split()):
+            constant[leaf, place] += len(docs)
+    keys = {}
+    for p in masks:
+        n, leaf, _, masked = p
+        own = []
+        for least in {need(n)}:
+            fixed = [x for x in enumerate(masked.split()) if constant[leaf, x] >= least]
+            if sum(t != templates.ANY for _, t in fixed) >= templates.SHARE * n:
+                own.append((leaf, tuple(fixed)))
+        keys[p] = set(own)
+    held = defaultdict(set)
+    for (d, _), p in parsed.items():
+        for key in keys[p]:
+            held[key, need(p[0])].add(d)
+    whole = dict(rows)
+    likely = {k: docs for k, docs in held.items() if len({whole[d] for d in docs}) >= k[1]}
+    among = set().union(*likely.values()) if likely else set()
+    comp, _ = brute_components([(d, t) for d, t in rows if d in among], 5, 80)
+    gone = {k[0] for k, docs in likely.items() if len({comp[d] for d in docs}) >= k[1]}
+    return {at for at, p in parsed.items() if keys[p] & gone}
+
+
+def test_templates_are_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    drops, _ = templates.find_templates(docs)
+    want = brute_drops([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert want and {(r["doc_id"], r["line"]) for r in drops.collect()} == want
+
+
+def test_templates_of_copies_and_blocks(spark):
+    rng = random.Random(7)
+    own = lambda: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(12))
+    head, foot, hot = "All of this page was made by the press office", "Write to the press office for more of this", "\n".join(own() for _ in range(4))
+    line = "This line is in many quite unlike documents here"
+    docs = [(i, f"{head}\n{own()}\n{own()}\n{foot}") for i in range(12)]
+    docs += [(100 + i, f"{own()}\n{line}\n{own()}") for i in range(9)] + [(200 + i, f"{hot}\n{line}") for i in range(60)]
+    near = [own() for _ in range(12)]
+    docs += [(300 + i, "\n".join([*near[: i % 12], f"{own().split()[0]} {near[i % 12].split(' ', 1)[1]}", *near[i % 12 + 1 :]])) for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in templates.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not any(x in t for t in got.values() for x in (head, foot, line))
+    assert all(got[200 + i] == hot for i in range(60))
+    assert all(got[d] == t for d, t in docs if d >= 300)  # near copies are one document
+
+
 def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

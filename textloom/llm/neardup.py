@@ -70,12 +70,16 @@ def sketches(sets: list[np.ndarray], number: int, each: int, seed: int = 41) ->
     return out
 
 
-def describe(docs: DataFrame, words: int, number: int, each: int) -> DataFrame:
+def describe(docs: DataFrame, words: int, number: int, each: int, among: DataFrame | None = None) -> DataFrame:
     """(doc_id, n, s1, s2, sketches): the size of each set, two sums over it that stand for it, and its sketches."""
-    batch_rows(docs.sparkSession, 500)
+    spark = docs.sparkSession
+    shared = None if among is None else spark.sparkContext.broadcast(sieve.build(among.select("doc_id"), among.count()))  # 4 MB at most
+    batch_rows(spark, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if shared is not None:
+                batch = batch.filter(pa.array(shared.value.passes(batch.column(0).to_numpy(zero_copy_only=False)), pa.bool_()))
             rows = batch.column(1).to_pylist()
             for part in _chunks(rows):
                 sets = shingle_sets(rows[part], words)
@@ -86,7 +90,10 @@ def describe(docs: DataFrame, words: int, number: int, each: int) -> DataFrame:
                 flat = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * sk.shape[1], pa.array(sk.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), flat], ["doc_id", "n", "s1", "s2", "sketches"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketches array<long>")
+    kind = "doc_id long, n long, s1 long, s2 long, sketches array<long>"
+    if among is None:
+        return texts(docs).mapInArrow(run, kind)
+    return texts(docs).where("doc_id is not null").mapInArrow(run, kind).join(among.select("doc_id"), "doc_id", "left_semi")
 
 
 def full_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
@@ -181,10 +188,10 @@ def links_by_hub(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return minor.groupBy("hub", "i", "j").cogroup(members.groupBy("hub", "i", "j")).applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: int = 2, among: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; with ``among`` (doc_id), of the rows of these documents alone."""
     number = plan(percent / 100, each)
-    described = settle(describe(docs, words, number, each), "sets")
+    described = settle(describe(docs, words, number, each, among), "sets")
     same = ["n", "s1", "s2"]
     classes = settle(described.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class")), "classes")
     heads = settle(described.join(classes.withColumnRenamed("class", "doc_id"), [*same, "doc_id"]).select("doc_id", "n", "sketches").dropDuplicates(["doc_id"]), "heads")

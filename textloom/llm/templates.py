@@ -6,8 +6,9 @@ have it there; all other places are variable fields.  Lines of a leaf with the s
 these are at least ``SHARE`` of the tokens.  A template that recurs in enough documents is dropped from all of them.
 
 Copies of one document share all of its lines, which makes none of them a template: copies are for near-duplicate
-removal, which must still find them alike.  So two minhashes of its other leaves stand for a line's document, and
-a template must be in enough documents that differ in either, and in no more copies than such documents.
+removal, which must still find them alike.  So a near-duplicate component (``COPIES``, among the documents that have a
+line of a template in question) counts as one document.  Shared boilerplate joins unlike documents only where it is
+nearly all of their text.  A template in enough components goes from all documents, however many copies some have.
 
 A leaf is never gathered: constants are counted by (leaf, place, token), templates by their hash, so that the order of
 lines doesn't matter and a leaf with a third of all lines is summed like any other.  Leaves that too few documents
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import sieve
+from . import neardup, sieve
 from .common import batch_rows, settle, texts
 
 DEPTH = 3
@@ -39,9 +40,8 @@ SHARE = 0.6
 MIN_DOCS = 5
 LONG, LONG_DOCS = 50, 3  # a line of so many tokens is a passage, and recurs from fewer documents on
 ANY = "<*>"
-LIKE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd factors of the two minhashes
+COPIES = {"words": 5, "percent": 80, "each": 2}  # what counts as copies, as in the pipeline's near-dedup
 
-_63 = (1 << 63) - 1
 _DIGIT = re.compile(r"\d")
 
 
@@ -67,9 +67,9 @@ def need(n: str | Column = "n") -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, n, leaf, mask, fresh, like1, like2) of all lines that are not blank.
+    """(doc_id, line, n, leaf, mask, fresh, whole) of all lines that are not blank.
 
-    fresh: the first such line of its row; like1, like2: minhashes of the row's other leaves, 0 if there are none.
+    fresh: the first such line of its row; whole: a hash of the row's text.
     """
     batch_rows(docs.sparkSession, 500)
 
@@ -77,19 +77,17 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [(k, got) for k, line in enumerate(text.split("\n")) if (got := parse(line))]
-                low = [sorted({leaf * odd & _63 for _, (_, leaf, _, _) in own})[:2] + [0] for odd in LIKE]
-                seen = set()
-                for k, (n, leaf, mask, _) in own:
-                    # of the other leaves: a leaf that many documents have must not stand for them itself
-                    like = [a if a != leaf * odd & _63 else b for odd, (a, b, *_) in zip(LIKE, low, strict=True)]
-                    rows.append((doc, k, n, leaf, mask, mask not in seen, *like))
-                    seen.add(mask)
+                whole, seen = _long(text), set()
+                for k, line in enumerate(text.split("\n")):
+                    if got := parse(line):
+                        n, leaf, mask, _ = got
+                        rows.append((doc, k, n, leaf, mask, mask not in seen, whole))
+                        seen.add(mask)
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "line", "n", "leaf", "mask", "fresh", "like1", "like2"])
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "line", "n", "leaf", "mask", "fresh", "whole"])
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, n int, leaf long, mask long, fresh boolean, like1 long, like2 long")
+    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, n int, leaf long, mask long, fresh boolean, whole long")
 
 
 def masked_lines(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -132,13 +130,17 @@ def find_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     named = fixed.where(F.col("constants") >= SHARE * F.col("n")).select("leaf", "mask", "n", "constants", F.xxhash64("leaf", "places").alias("template"))
     named = settle(named, "named")
-    found = settle(lines.select("doc_id", "line", "leaf", "mask", "like1", "like2").join(named, ["leaf", "mask"]).select("doc_id", "line", "template", "n", "constants", "like1", "like2"), "found")
-    across = found.groupBy("template", "n").agg(
-        F.count_distinct("doc_id").alias("docs"), F.count_distinct("like1").alias("kinds1"), F.count_distinct("like2").alias("kinds2"), F.max("constants").alias("constants")
+    found = settle(lines.select("doc_id", "line", "leaf", "mask", "whole").join(named, ["leaf", "mask"]).select("doc_id", "line", "template", "n", "constants", "whole"), "found")
+    # different texts are at least as many as components: templates with too few need none
+    likely = settle(found.groupBy("template", "n").agg(F.count_distinct("whole").alias("texts")).where(F.col("texts") >= need()).select("template"), "likely")
+    held_by = settle(found.join(likely, "template").select("doc_id", "line", "template", "n", "constants"), "held")
+    among = settle(held_by.select("doc_id").distinct(), "among")
+    copies = neardup.near_duplicates(docs, **COPIES, among=among).groupBy("doc_id").agg(F.min("component_id").alias("component"))
+    across = held_by.join(settle(copies, "copies"), "doc_id").groupBy("template", "n").agg(
+        F.count_distinct("doc_id").alias("docs"), F.count_distinct("component").alias("kinds"), F.max("constants").alias("constants")
     )
-    across = across.withColumn("kinds", F.least("kinds1", "kinds2")).drop("kinds1", "kinds2")
-    recurring = settle(across.where((F.col("kinds") >= need()) & (2 * F.col("kinds") >= F.col("docs"))), "recurring")
-    drops = found.join(recurring.select("template"), "template").select("doc_id", "line").distinct()
+    recurring = settle(across.where(F.col("kinds") >= need()), "recurring")
+    drops = held_by.join(recurring.select("template"), "template").select("doc_id", "line").distinct()
     examples = named.join(held.select("leaf", "mask", "masked"), ["leaf", "mask"]).groupBy("template").agg(F.min("masked").alias("example"))
     return drops, recurring.join(examples, "template")
 
