@@ -13,7 +13,6 @@ from textloom.llm.common import new_path
 from textloom.llm.tokens import vocabulary_path
 
 TOXIC = 0.7  # a document of this score or more goes
-KEPT_SHARE = 0.5  # a document that loses more than half of its text to recurring lines goes
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +23,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: recurring lines go, and documents that were mostly such lines."""
+    """Operator 8: recurring lines go, and documents of which nothing else is left."""
     left = templates.drop_templates(docs)
-    mostly = (F.col("_dropped") > 0) & (F.length(F.trim("text")) < KEPT_SHARE * F.col("_before"))
-    return left.where(~F.coalesce(mostly, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    blank = (F.col("_dropped") > 0) & ~F.col("text").rlike(r"(?U)\S")
+    return left.where(~F.coalesce(blank, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

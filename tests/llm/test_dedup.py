@@ -202,6 +202,16 @@ def test_templates_of_copies_and_blocks(spark):
     assert all(got[d] == t for d, t in docs if d >= 300)  # near copies are one document
 
 
+def test_line_dedup_keeps_own_text(spark):
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    passage, bodies = own(60), [own(20) for _ in range(8)]
+    rows = [(i, f"{passage}\n{b}") for i, b in enumerate(bodies)] + [(20, passage), (21, f" \n{passage}"), (22, " "), (23, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_recurring_lines(spark, docs, "").collect()}
+    assert got == {**dict(enumerate(bodies)), 22: " ", 23: None}
+
+
 def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

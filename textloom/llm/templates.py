@@ -162,7 +162,7 @@ def _without(text: pd.Series, drops: pd.Series) -> pd.DataFrame:
 
 
 def drop_templates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` without the recurring lines, and with _lines, _dropped and _before (the text's length before)."""
+    """``docs`` with ``text`` without the recurring lines, and with _lines and _dropped."""
     drops, _ = find_templates(docs)
     of = settle(drops.groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_doc"), "drops")
     batch_rows(docs.sparkSession, 500)
@@ -170,4 +170,4 @@ def drop_templates(docs: DataFrame) -> DataFrame:
     # as many documents may lose lines as there are: never a broadcast side, however few they are in one corpus
     joined = docs.join(of.hint("merge"), F.col("doc_id").cast("long") == F.col("_doc"), "left").withColumn("_got", without("text", "_gone"))
     kept = [F.col("_got.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*kept, F.col("_got.lines").alias("_lines"), F.col("_got.dropped").alias("_dropped"), F.coalesce(F.length("text"), F.lit(0)).alias("_before"))
+    return joined.select(*kept, F.col("_got.lines").alias("_lines"), F.col("_got.dropped").alias("_dropped"))
