@@ -163,7 +163,8 @@ def brute_drops(rows):
     for p in masks:
         n, leaf, _, masked = p
         own = []
-        for least in {need(n)}:
+        halves = [leaves[leaf] / 2**k for k in range(30)]
+        for least in {need(n), *(x for x in halves if x >= need(n))}:
             fixed = [x for x in enumerate(masked.split()) if constant[leaf, x] >= least]
             if sum(t != templates.ANY for _, t in fixed) >= templates.SHARE * n:
                 own.append((leaf, tuple(fixed)))
@@ -202,6 +203,15 @@ def test_templates_of_copies_and_blocks(spark):
     assert all(got[d] == t for d, t in docs if d >= 300)  # near copies are one document
 
 
+def test_frequent_field_values_stay_variable(spark):
+    rng = random.Random(9)
+    own = lambda: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(12))
+    docs = [(i, f"{own()}\nPosted in May by name{'abcdefghijklmnop'[i % 16]} for the city{'abcdefghijklmnop'[i // 16]} edition\n{own()}") for i in range(256)]
+    docs += [(300 + i, f"{own()}\nPosted in May but kept there by the same rare crew\n{own()}") for i in range(6)]  # a small template of the same leaf
+    got = templates.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == 262 and all(r["_dropped"] == 1 and "Posted" not in r["text"] for r in got)
+
+
 def test_line_dedup_keeps_own_text(spark):
     rng = random.Random(8)
     own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))

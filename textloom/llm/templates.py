@@ -2,8 +2,11 @@
 
 A line goes down a tree of fixed depth: the number of its tokens, then its first ``DEPTH`` tokens, in which tokens
 with a digit are variable from the start.  In a leaf, a token at a place is constant if lines of enough documents
-have it there; all other places are variable fields.  Lines of a leaf with the same constants are a template, if
-these are at least ``SHARE`` of the tokens.  A template that recurs in enough documents is dropped from all of them.
+have it there; all other places are variable fields.  Enough are the leaf's documents, their half, quarter, and so on
+down to the fixed least number: the tree's next levels, so that a field's value stays variable on some level however
+often it comes, and a rare template of a large leaf is found on a deeper one.  Lines of a leaf with the same constants
+on a level are a template, if these are at least ``SHARE`` of the tokens.  A template that recurs in enough documents
+is dropped from all of them.
 
 Copies of one document share all of its lines, which makes none of them a template: copies are for near-duplicate
 removal, which must still find them alike.  So a near-duplicate component (``COPIES``, among the documents that have a
@@ -116,19 +119,32 @@ def masked_lines(docs: DataFrame, leaves: DataFrame) -> DataFrame:
     return rows.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["leaf", "mask"])
 
 
+def levels(size: str) -> Column:
+    """Documents that make a token constant, by level: all of the leaf's, half of them, ..., and ``need`` at last."""
+    halvings = F.floor(F.log2(F.col(size) / need())).cast("int")
+    return F.array_append(F.transform(F.sequence(F.lit(0), halvings), lambda k: F.col(size) / F.pow(F.lit(2.0), k)), need().cast("double"))
+
+
+def _level(least: Column) -> Column:
+    held = F.filter("own", lambda x: x["times"] >= least)
+    return F.struct(
+        F.size(F.filter(held, lambda x: x["literal"])).cast("long").alias("constants"), F.xxhash64(F.transform(held, lambda x: F.struct(x["place"], x["token"]))).alias("places")
+    )
+
+
 def find_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, line) of the lines to drop, and (template, n, docs, constants, kinds, example) of the recurring templates."""
     lines = settle(parsed_lines(docs), "lines")
     groups = settle(lines.groupBy("leaf", "mask", "n").agg(F.sum(F.col("fresh").cast("long")).alias("docs")), "groups")
-    leaves = settle(groups.groupBy("leaf", "n").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= need()).select("leaf", "n"), "leaves")
+    leaves = settle(groups.groupBy("leaf", "n").agg(F.sum("docs").alias("size")).where(F.col("size") >= need()), "leaves")
     held = settle(masked_lines(docs, leaves).join(groups, ["leaf", "mask"]), "masked")
 
     places = held.select("leaf", "mask", "n", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token")).withColumn("literal", F.col("token") != ANY).withColumn("token", F.xxhash64("token"))
-    constant = settle(places.groupBy("leaf", "place", "token", "n").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= need()).select("leaf", "place", "token"), "constants")
-    fixed = places.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "mask", "n").agg(
-        F.sum(F.col("literal").cast("long")).alias("constants"), F.xxhash64(F.array_sort(F.collect_list(F.struct("place", "token")))).alias("places")
-    )
-    named = fixed.where(F.col("constants") >= SHARE * F.col("n")).select("leaf", "mask", "n", "constants", F.xxhash64("leaf", "places").alias("template"))
+    constant = places.groupBy("leaf", "place", "token", "n").agg(F.sum("docs").alias("times")).where(F.col("times") >= need())
+    constant = settle(constant.join(leaves, ["leaf", "n"]).select("leaf", "place", "token", "times", "size"), "constants")
+    fixed = places.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "mask", "n", "size").agg(F.array_sort(F.collect_list(F.struct("place", "token", "literal", "times"))).alias("own"))
+    named = fixed.select("leaf", "mask", "n", F.explode(F.array_distinct(F.transform(levels("size"), _level))).alias("level")).select("leaf", "mask", "n", "level.*")
+    named = named.where(F.col("constants") >= SHARE * F.col("n")).select("leaf", "mask", "n", "constants", F.xxhash64("leaf", "places").alias("template"))
     named = settle(named, "named")
     found = settle(lines.select("doc_id", "line", "leaf", "mask", "whole").join(named, ["leaf", "mask"]).select("doc_id", "line", "template", "n", "constants", "whole"), "found")
     # different texts are at least as many as components: templates with too few need none
