@@ -212,6 +212,16 @@ def test_frequent_field_values_stay_variable(spark):
     assert len(got) == 262 and all(r["_dropped"] == 1 and "Posted" not in r["text"] for r in got)
 
 
+def test_passage_of_two_documents(spark):
+    rng = random.Random(10)
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    passage, copied = own(60), f"{own(70)}\n{own(12)}"
+    docs = [(0, f"{own(30)}\n{passage}"), (1, f"{passage}\n{own(40)}"), (2, copied), (3, copied), (4, f"{copied} more")]
+    got = {r["doc_id"]: r["text"] for r in templates.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert passage not in got[0] + got[1] and got[0] and got[1]
+    assert all(got[d] == t for d, t in docs[2:])  # copies are one document
+
+
 def test_line_dedup_keeps_own_text(spark):
     rng = random.Random(8)
     own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))

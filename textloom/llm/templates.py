@@ -41,7 +41,7 @@ from .common import batch_rows, settle, texts
 DEPTH = 3
 SHARE = 0.6
 MIN_DOCS = 5
-LONG, LONG_DOCS = 50, 3  # a line of so many tokens is a passage, and recurs from fewer documents on
+LONG, LONG_DOCS = 50, 2  # a line of so many tokens is a passage, and recurs from two unlike documents on
 ANY = "<*>"
 COPIES = {"words": 5, "percent": 80, "each": 2}  # what counts as copies, as in the pipeline's near-dedup
 
