@@ -148,6 +148,19 @@ def test_templates(spark, odd, none):
     assert templates.drop_templates(none).count() == 0
 
 
+def test_long_items_are_found(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, f"{text(n)}?\n{text(8)}") for k, n in enumerate((292, 292, 89, 180, 900, 20))]
+    docs = [(10 * k + i, f"{text(37 * i)} {t} {text(200)}") for k, t in items for i in range(4)]
+    docs += [(100, f"{' '.join(items[0][1].split()[:60])} {text(1500)} {items[0][1].replace('a', 'A', 5)}"), (101, " ".join(items[0][1].split()[:60])), (102, text(700))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(10 * k + i, k) for k, _ in items for i in range(4)} | {(100, 0)}
+    assert {(r["doc_id"], r["item_id"]) for r in contamination.contaminated(frame, bench).collect()} == want
+    assert {r["doc_id"] for r in contamination.keep_clean(frame, bench).collect()} == {101, 102}
+
+
 def brute_drops(rows):
     """(doc_id, line) by the definition, with plain dicts: documents are brute-force components."""
     parsed = {(d, k): p for d, t in rows for k, x in enumerate((t or "").split("\n")) if (p := templates.parse(x))}

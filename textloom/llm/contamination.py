@@ -7,6 +7,10 @@ largest weights can't.  Before that, the few postings of the rarer terms are sum
 passage in which no item could reach the threshold, even with all of its common terms, needs no query.  A
 retrieved item is confirmed on word n-grams: both its question and its answer must be found around the passage.
 
+An item longer than a passage is also indexed in pieces no longer than the stride, half overlapping, so that a passage
+holds any of them whole; each piece has the score of its own text, and what is confirmed is the whole item, around
+every passage that retrieves it until one is confirmed.
+
 The index is built on the driver and sent out; its size is checked first.  Items beyond ``MOST_BYTES`` are dealt to
 several indexes, each within the bound, and the passages are queried against one after the other.
 
@@ -35,7 +39,7 @@ OVERLAP = 0.6  # of the n-grams of the question, and of the answer
 GRAM = 3
 BLOCK = 32  # postings a block
 K1, B = 1.2, 0.75
-MOST_BYTES = 32 << 20  # of items in an index
+MOST_BYTES = 32 << 20  # of items in an index, long ones with their pieces
 
 _CUT = bytes(32 if chr(c) in ".,;:!?\"'()[]{}<>|/\\*_#`~=+-" else c for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -65,15 +69,24 @@ def _part(words: list[bytes]) -> tuple[int, set[tuple[bytes, ...]]]:
     return size, grams(words, size)
 
 
+def entries(words: list[bytes]) -> list[list[bytes]]:
+    """The item itself and, if it is longer than a passage, its pieces."""
+    if len(words) <= PASSAGE:
+        return [words]
+    return [words, *(words[i : i + STRIDE] for i in [*range(0, len(words) - STRIDE, STRIDE // 2), len(words) - STRIDE])]
+
+
 class Index:
-    """Postings in item order with block maxima; weights are shares of each item's own score."""
+    """Postings in entry order with block maxima; weights are shares of each entry's own score; ``of`` has an entry's item."""
 
     def __init__(self, items: list[tuple[int, str]], frequencies: Counter[bytes], number: int, mean: float):
         self.items = [i for i, _ in items]
         words = [terms(t) for _, t in items]
+        pieces = [(i, x) for i, own in enumerate(words) for x in entries(own)]
+        self.of = [i for i, _ in pieces]
         idf = {t: math.log(1 + (number - n + 0.5) / (n + 0.5)) for t, n in frequencies.items()}
         held: dict[bytes, list[tuple[int, float]]] = {}
-        for k, own in enumerate(words):
+        for k, (_, own) in enumerate(pieces):
             weight = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / mean)) for t, n in Counter(own).items()}
             total = sum(weight.values())
             for t, w in weight.items():
@@ -83,13 +96,13 @@ class Index:
         self.tops = {t: [max(w[i : i + BLOCK]) for i in range(0, len(w), BLOCK)] for t, w in self.weights.items()}
         self.best = {t: max(w) for t, w in self.weights.items()}
         self.parts = [tuple(map(_part, question_and_answer(t))) for _, t in items]
-        most = max(8, len(items) // 50)
+        most = max(8, len(pieces) // 50)
         self.rare = {t: n for n, t in enumerate(t for t, p in self.docs.items() if len(p) <= most)}
         own = [(self.docs[t], self.weights[t]) for t in self.rare]
         self.rare_ends = np.cumsum([0, *(len(d) for d, _ in own)])
         self.rare_items = np.array([k for d, _ in own for k in d], dtype=np.int64)
         self.rare_weights = np.array([w for _, ws in own for w in ws])
-        self.rest = 1.0 - np.bincount(self.rare_items, weights=self.rare_weights, minlength=len(items))  # by the item's common terms
+        self.rest = 1.0 - np.bincount(self.rare_items, weights=self.rare_weights, minlength=len(pieces))  # by the entry's common terms
         self.longest = max((len(w) for w in words), default=0)
 
     def query(self, words: set[bytes], least: float) -> list[tuple[int, float]]:
@@ -176,22 +189,26 @@ class Searcher:
             return out
         for d, begins in self.passages(bags).items():
             words = bags[d]
-            found: dict[int, tuple[float, int]] = {}
+            found: dict[int, dict[int, float]] = {}
             for b in begins:
-                for item, score in self.index.query(set(words[b : b + PASSAGE]), self.least):
-                    found[item] = max(found.get(item, (0.0, 0)), (score, -b))
-            for item, (score, b) in sorted(found.items()):
-                around = words[max(0, -b - self.index.longest) : PASSAGE - b + self.index.longest]
-                q, a = (len(p & grams(around, n)) / max(1, len(p)) for n, p in self.index.parts[item])
-                if q >= self.overlap and a >= self.overlap:
-                    out[d].append((self.index.items[item], -b, score, q, a))
+                for entry, score in self.index.query(set(words[b : b + PASSAGE]), self.least):
+                    at = found.setdefault(self.index.of[entry], {})
+                    at[b] = max(at.get(b, 0.0), score)
+            for item, at in sorted(found.items()):
+                for b, score in sorted(at.items(), key=lambda x: (-x[1], x[0])):
+                    around = words[max(0, b - self.index.longest) : b + PASSAGE + self.index.longest]
+                    q, a = (len(p & grams(around, n)) / max(1, len(p)) for n, p in self.index.parts[item])
+                    if q >= self.overlap and a >= self.overlap:
+                        out[d].append((self.index.items[item], b, score, q, a))
+                        break
         return out
 
 
 def indexes(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> Iterator[Index]:
     """One index if the items are within ``most_bytes``, else several; item statistics are of all items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    octets = F.octet_length("text")
+    size = items.agg(F.sum(F.when(octets >= 2 * PASSAGE, 3 * octets).otherwise(octets))).first()[0] or 0  # with pieces, thrice
     parts = max(1, -(-size // most_bytes))
     dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
     frequencies: Counter[bytes] = Counter()
