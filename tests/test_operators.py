@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom import settings
+from textloom import plans, settings
 from textloom.functions import text as X
 from textloom.operators import audit, dedup, features, graph, metrics, models, splits, stats, windows
+from textloom.plans import evaluation
 from textloom.sources import readers, writers
 from textloom.streaming import streams
 
@@ -200,3 +201,9 @@ def test_streams(spark, tmp_path):
 
 def test_content_hash():
     assert settings.content_hash({"a": 1, "threads": 4}) == settings.content_hash({"threads": 9, "a": 1}) != settings.content_hash({"a": 2})
+
+
+def test_catalogue_draws_are_the_references():
+    assert evaluation.DRAWS == settings.BOOTSTRAPS == 1000
+    for name in ("cluster_bootstrap_rate", "bootstrap_auc_ci", "macro_auc_ci", "paired_diff_p"):
+        assert "range(1000)" in plans.ORACLE_SQL[name]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import settings
 from ..operators import audit, metrics, stats, windows
 from .registry import Tables, query
 
@@ -85,7 +86,7 @@ def pool_levels(t: Tables) -> DataFrame:
     return n.select("source", "n", metrics.pool_level(F.col("n"), 40, 15).cast("double").alias("fpr"))
 
 
-DRAWS = 40
+DRAWS = settings.BOOTSTRAPS
 WEIGHTS_SQL = f"""w AS (SELECT s.lang, s.source, x.draw, count(*) AS w FROM (SELECT lang, slot, draw, (('0x' || substring(md5('boot:' || lang || ':' || draw || ':' || slot), 1, 8))::BIGINT) % k AS no FROM
 (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS k FROM (SELECT DISTINCT lang, source FROM r)), range({DRAWS}) d(draw)) x
 JOIN (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS no FROM (SELECT DISTINCT lang, source FROM r)) s ON s.lang = x.lang AND s.no = x.no GROUP BY ALL)"""
