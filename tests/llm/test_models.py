@@ -55,8 +55,9 @@ def test_language(spark, docs, odd, none):
     rows = {(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(odd, net).collect()}
     assert {(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)} <= rows and all(0 <= s <= 1 for _, _, s in rows) and language.identify(odd, net).count() == odd.count()
     assert language.identify(none, net).count() == 0
-    with pytest.raises(ValueError):
-        language.train(none)
+    assert {tuple(r) for r in language.identify(odd, language.train(none)).select("lang_pred", "score").collect()} == {("und", 0.0)}
+    signs = spark.createDataFrame([(1, "² ½ Ⅷ ① 7"), (2, "²a")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language.identify(signs, net).orderBy("doc_id").collect()] == [True, False]
 
 
 def test_toxicity(spark, odd, none):
@@ -71,8 +72,39 @@ def test_toxicity(spark, odd, none):
     spot = model.locate("All is well here. You are a stupid idiot and a moron. Good bye.")
     assert [i for i, _, _ in spot] == [1]
     assert toxicity.score(none, model).count() == 0
-    with pytest.raises(ValueError):
-        toxicity.train(none.select("doc_id", "text", F.lit(1).alias("toxic")))
+    for few in (none, odd):
+        assert toxicity.score(odd, toxicity.train(few.select("doc_id", "text", F.lit(1).alias("toxic")))).where("score <> 0").count() == 0
+    clean = [r["text"] for r in docs.where(held & (F.col("toxic") == 0)).collect()]
+    assert all(model.score("\n".join([t] * 40)) == model.score(t) for t in clean[:200])  # what is repeated adds nothing
+    text = [t for t in clean if len(t) < 3000]
+    filler = "\n".join(f"{k} xq{k} zzv{k}." for k in range(400))
+    assert all(abs(model.score(f"{t}\n{filler}") - model.score(t)) < 1e-9 for t in text[:50] if toxicity.sentences(t))  # nor does what is unknown
+
+
+def test_noisy_or_is_plain():
+    model = toxicity.Model({"a": 3.0, "b": 1.5, "c": 7.0}, -4.0)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for text in ("a b. c d.", "x. y.", "a. a. a b", "c a\nb b b"):
+        left = 1 - sigmoid(model.leak)
+        for s in set(toxicity.sentences(text)):
+            z = toxicity.REST + sum(model.weights.get(w, 0) for w in {x.strip(".") for x in s.split()})
+            left *= (1 - sigmoid(z)) / (1 - sigmoid(toxicity.REST))
+        assert model.score(text) == pytest.approx(1 - left)
+
+
+def test_noisy_or_gradient():
+    rng = np.random.default_rng(5)
+    w, leak = rng.random(12) * 4, -2.0
+    count = np.array([1, 3, 2, 5])
+    f, at = rng.integers(0, 12, 40), np.sort(rng.integers(0, 11, 40))
+    y = np.array([0, 1, 1, 0])
+    _, u, g, gleak = toxicity.gradient(w, leak, f, at, count, y)
+    for k, i in enumerate(u):
+        up, down = w.copy(), w.copy()
+        up[i] += 1e-6
+        down[i] -= 1e-6
+        assert g[k] == pytest.approx((toxicity.gradient(up, leak, f, at, count, y)[0] - toxicity.gradient(down, leak, f, at, count, y)[0]) / 2e-6, abs=1e-4)
+    assert gleak == pytest.approx((toxicity.gradient(w, leak + 1e-6, f, at, count, y)[0] - toxicity.gradient(w, leak - 1e-6, f, at, count, y)[0]) / 2e-6, abs=1e-4)
 
 
 def test_quality(spark, docs, odd, none):
@@ -87,5 +119,20 @@ def test_quality(spark, docs, odd, none):
     assert got[1] - got[0] > 0.5
     assert quality.score(odd, v, net).count() == odd.count() and quality.score(none, v, net).count() == 0
     assert not quality.word_vectors(none).any()
-    with pytest.raises(ValueError):
-        quality.train(none.select("doc_id", "text", F.lit(1).alias("quality")), v)
+    for few, share in ((none, 0.5), (odd, 1.0)):
+        got = quality.score(odd, v, quality.train(few.select("doc_id", "text", F.lit(1).alias("quality")), v)).collect()
+        assert all(r["score"] == pytest.approx(share, abs=1e-6) for r in got)
+
+
+def test_word_vectors_are_plain_sums(spark):
+    texts = ["the cat sat on the mat, the end", "A cat; a mat", "", None, "mat"]
+    got = quality.word_vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    places, signs = quality.index_vectors()
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        ids = quality.Words().ids(t or "").tolist()
+        for i, a in enumerate(ids):
+            for j, b in enumerate(ids):
+                if 0 < abs(i - j) <= quality.REACH:
+                    np.add.at(want[a], places[b], signs)
+    assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12), atol=1e-6)

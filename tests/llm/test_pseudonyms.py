@@ -52,6 +52,57 @@ def test_formats(kind, value):
     assert new != value and P.pseudonym(kind, new, F, back=True) == value
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(200, 999), st.integers(200, 999), st.integers(0, 9999))
+def test_spellings_of_an_american_number(area, exchange, line):
+    a, e, n = str(area), str(exchange), f"{line:04d}"
+    spelt = [f"+1 ({a}) {e}-{n}", f"+1{a}{e}{n}", f"+1-{a}-{e}-{n}", f"+1 {a} {e} {n}", f"({a}) {e}-{n}", f"{a}-{e}-{n}", f"{a}.{e}.{n}"]
+    p = P.Pseudonymizer(b"k")
+    new = [p.text(x) for x in spelt]
+    assert all(found and [c for c in t if not c.isdigit()] == [c for c in x if not c.isdigit()] for x, (t, found) in zip(spelt, new, strict=True))
+    assert len({"".join(c for c in t if c.isdigit())[-10:] for t, _ in new}) == 1
+    assert [P.pseudonym("phone", t, F, back=True) for t, _ in new] == spelt
+
+
+@pytest.mark.parametrize("spelt", [["+49 30 1234567", "+49301234567", "+49 (30) 1234567", "+49 (0)30 1234567", "+49-30-123 45 67"], ["+44 20 7946 0958", "+442079460958"], ["+420 601 234 567", "+420601234567"], ["+7 495 123-45-67", "+74951234567"], ["+1 100 200 3000", "+11002003000"]])
+def test_spellings_of_a_number(spelt):
+    p = P.Pseudonymizer(b"k")
+    new = [p.text(f"call {x}!")[0][5:-1] for x in spelt]
+    assert new[0] != spelt[0] and len({"".join(c for c in t.replace("(0)", "") if c.isdigit()) for t in new}) == 1
+    assert [P.pseudonym("phone", t, F, back=True) for t in new] == spelt
+    assert new[0][:3] == spelt[0][:3] or new[0][:2] == spelt[0][:2]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dates(datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)))
+def test_spellings_of_a_date(day):
+    y, m, d = day.year, day.month, day.day
+    spelt = [f"{y}-{m:02d}-{d:02d}", f"{d}.{m}.{y}", f"{d:02d}.{m:02d}.{y}", f"{m}/{d}/{y}", f"{m:02d}/{d:02d}/{y}"] + ([f"{d}/{m}/{y}"] if d > 12 else [])
+    new = [P.pseudonym("date", x, F) for x in spelt]
+    assert [len(x) for x in new] == [len(x) for x in spelt] and [P.pseudonym("date", x, F, back=True) for x in new] == spelt
+    want = datetime.date.fromisoformat(new[0])
+    assert new[1] == f"{want.day}.{want.month}.{want.year}" and new[3] == f"{want.month}/{want.day}/{want.year}"
+    if d > 12:
+        assert new[-1] == f"{want.day}/{want.month}/{want.year}"
+
+
+def test_names_of_addresses():
+    p = P.Pseudonymizer(b"k")
+    one, other = p.text("Anna.Berg7@X.org")[0], p.text("anna.berg7@X.org")[0]
+    assert one.lower() == other.lower() != "anna.berg7@x.org" and one[0].isupper() and one[5].isupper() and one.endswith("@X.org")
+    for x in ("müller@x.de", "иван@пример.рф", "MÜLLER-straße@x.de", "ann+tag@x.de"):
+        new, found = p.text(x)
+        assert len(found) == 1 and len(new) == len(x) and new.split("@")[0] != x.split("@")[0] and P.pseudonym("email", new, F, back=True) == x
+    assert not set("ü") & set(p.text("müller@x.de")[0][:1])
+
+
+def test_key(spark):
+    assert P.key_of(spark) == P.key_of(spark) and len(P.key_of(spark)) == 32
+    spark.conf.set(P.KEY_CONF, "secret")
+    assert P.key_of(spark) == b"secret"
+    spark.conf.unset(P.KEY_CONF)
+
+
 def test_text():
     p = P.Pseudonymizer(b"k")
     text = "Mail ab.1@x.org, +1 (988) 555-2485 or 4111111111111111; 4111111111111112, 999.1.1.1, 4.0. stay; ab.1@x.org"
@@ -64,6 +115,9 @@ def test_frame(spark, odd, none):
     got = P.pseudonymize(odd, b"k", with_spans=True)
     assert got.columns == [*odd.columns, "_found", "_spans"] and {r["doc_id"]: r["text"] for r in got.collect()}[4] == {r["doc_id"]: r["text"] for r in odd.collect()}[4]
     assert P.pseudonymize(none, b"k").count() == 0
+    clash = spark.createDataFrame([(1, "call (212) 555-0000", (3, 4), 5)], "doc_id long, text string, x struct<`a b`: int, `c-d`: int>, _found int")
+    row = P.pseudonymize(clash, b"k").first()
+    assert row["x"]["a b"] == 3 and row["_found"]["phone"] == 1
 
 
 def test_planted_values_go(spark):

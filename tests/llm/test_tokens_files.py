@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,18 +15,37 @@ PATH = vocabulary_path()
 
 
 def library(text):
-    return np.array(encoder(PATH).whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    with encoder(PATH) as enc:
+        return np.array(enc.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("abzAZ'stdrevml09 .,!?\t\n\r\x1c\x85\xa0ßµª²½×÷éÉüñÇİΣσ漢😀é<|>endoftext")), max_size=40))
-def test_encoder_is_the_library(text):
-    assert encoder(PATH).encode(text) == library(text)
+def fast(texts):
+    with encoder(PATH) as enc:
+        ids, limits = enc.column(pa.array(texts, pa.string()))
+    return [ids[a:b].astype("<u4").tobytes() for a, b in zip(limits[:-1], limits[1:])]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abzAZ'stdrevml09 .,!?\t\n\r\x1c\x85\xa0ßµª²½×÷éÉüñÇİΣσς漢😀é<|>endoftext")), max_size=40), max_size=5))
+def test_encoder_is_the_library(texts):
+    assert fast(texts) == [library(t) for t in texts]
+
+
+def test_encoder_with_special_tokens():
+    texts = ["", "a <|endoftext|> b", "x" * 5000, "<|startoftext|>", " ", "it's ΣΑΣ e\u0301 \u0301x don't"]
+    assert fast(texts) == [library(t) for t in texts] and fast([]) == []
 
 
 def test_encoder_on_real_texts(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
-    assert all(encoder(PATH).encode(r[0]) == library(r[0]) for r in rows)
+    rows = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    assert fast(rows) == [library(t) for t in rows]
+
+
+def test_caches_go_with_the_task():
+    with encoder(PATH) as enc:
+        enc.column(pa.array(["some words here"]))
+        assert enc.words and enc.pieces
+    assert not enc.words and not enc.pieces
 
 
 @settings(max_examples=60, deadline=None)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, texts
+from .common import bound_batches, texts
 from .tokens import encoder
 
 #: Simple-8b: ids a word, and bits an id, by selector (fixed values of the format; 0 is this file's escape).
@@ -167,20 +167,21 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataF
     Parts are ranges of ascending ids.  Their limits come from one pass over the id column alone, so that no text is
     encoded twice, as a range exchange on the encoded rows, which samples them first, would do.
     """
-    batch_rows(docs.sparkSession, 500)
+    bound_batches(docs.sparkSession)
     rows = texts(docs)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     limits = np.unique(np.array(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts), dtype=np.float64)) if parts > 1 else np.zeros(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(enc.encode(text) + end, dtype="<u4")
-                out.append(b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\x04" + ids.tobytes())
-            part = np.searchsorted(limits, batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), side="right")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32)), pa.array(out, pa.binary())], ["doc_id", "part", "ids"])
+        with encoder(vocabulary) as enc:
+            for batch in batches:
+                ids, bounds = enc.column(batch.column(1))
+                out = []
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    own = np.append(ids[a:b], np.uint32(end_id))
+                    out.append(b"\x02" + own.astype("<u2").tobytes() if own.max() < 65536 else b"\x04" + own.astype("<u4").tobytes())
+                part = np.searchsorted(limits, batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), side="right")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32)), pa.array(out, pa.binary())], ["doc_id", "part", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, part int, ids binary")
 
@@ -229,7 +230,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema("part int, segment long, before long, first_doc long, n_docs long, n_ids long, blob binary").parquet(path)
     # one row a part; a part is a task of the writer, so that this table is no larger than a job's task list
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    batch_rows(spark, 8)
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

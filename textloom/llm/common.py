@@ -1,4 +1,4 @@
-"""What the training-data operators share: the shared folder, null-safe input columns, bounded label samples."""
+"""What the training-data operators share: the shared folder, bounded Arrow batches, null-safe input columns, bounded label samples."""
 
 from __future__ import annotations
 
@@ -10,17 +10,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (a local test) gets a temporary folder, removed at exit.
+    Only a local session without that setting (a test) gets a temporary folder, removed at exit; a cluster must name one.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if spark.sparkContext.applicationId not in _own:
         _own[spark.sparkContext.applicationId] = path = tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -36,18 +41,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["settled_at"] = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def forget(*settled: DataFrame) -> None:
+    """Deletes settled tables that no unsettled frame reads any more."""
+    for df in settled:
+        if path := df.__dict__.pop("settled_at", None):
+            spark = df.sparkSession
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch: texts may be long, so that batches stay some MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches end at ``BATCH_BYTES`` (one row at least), however long the texts are.
+
+    Spark has no such setting for one query; the value is the same for all operators, so that their order doesn't
+    matter, and a session that has set its own keeps it.
+    """
+    if spark.conf.get(_BATCH_CONF).rstrip("bB") == str((1 << 31) - 1):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -60,13 +75,13 @@ def remainder(mod: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % mod
 
 
-def label_sample(rows: DataFrame, most: int, column: str = "doc_id") -> DataFrame:
-    """About ``most`` of ``rows``, by a hash of the id, so that every run and partitioning takes the same.
+def label_sample(rows: DataFrame, most: int, most_chars: int = 1 << 26) -> DataFrame:
+    """About ``most`` of ``rows`` and ``most_chars`` of their texts, by a hash of all columns: every run takes the same.
 
-    One count fixes the hash limit; the limit is what bounds what the driver may collect.
+    One pass fixes the hash limit; the limit is what bounds what the driver may collect.  Equal rows count once.
     """
-    n = rows.count()
-    if n <= most:
-        return rows
-    cut = int(most / n * (1 << 30))
-    return rows.where(F.pmod(F.xxhash64(F.col(column), F.lit("sample")), F.lit(1 << 30)) < cut)
+    n, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
+    share = min(1.0, most / max(1, n), most_chars / max(1, chars or 0))
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64(*rows.columns, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return rows.dropDuplicates()

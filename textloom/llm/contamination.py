@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, texts
+from .common import bound_batches, texts
 
 PASSAGE, STRIDE = 96, 48  # words
 THRESHOLD = 0.5  # of the score of the item's own text
@@ -233,7 +233,7 @@ def indexes(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> Iterator[Inde
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, first_word, score, question_overlap, answer_overlap) of every confirmed pair."""
     spark = docs.sparkSession
-    batch_rows(spark, 500)
+    bound_batches(spark)
     schema = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
     out = None
     for index in indexes(benchmark):
@@ -254,7 +254,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = THRESHOLD
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs`` without a confirmed item, filtered where they are read, index after index, without a join."""
     spark = docs.sparkSession
-    batch_rows(spark, 500)
+    bound_batches(spark)
     at = docs.columns.index("text")
     for index in indexes(benchmark):
         shared = spark.sparkContext.broadcast(Searcher(index, least, overlap))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = lower.select(F.col("node").alias("up"), F.col("component").alias("top"))
         after = settle(lower.join(up, lower.component == up.up).select("node", F.col("top").alias("component")), "labels")
         moved = after.join(labels.withColumnRenamed("component", "was"), "node").where("component <> was").limit(1).count()
+        forget(labels, lower)
         labels = after
         if not moved:
+            forget(both)
             return labels

@@ -5,15 +5,20 @@ the window is kept, and a softmax layer tells the language.  The network is trai
 written out) on windows of labelled text.  For scoring, embedding and filters are folded into two tables indexed by
 byte pairs, which gives the same sums at two look-ups a position.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; a text shorter than a window is
+Training takes windows, not whole texts: ``WINDOWS_A_DOC`` of each sampled document, drawn by a generator seeded with
+the text itself, cut out where the document is read, so that the driver gets ``MOST_DOCS * WINDOWS_A_DOC`` windows of
+``WINDOW`` bytes at most.  Both are bounds of the training sample; scoring reads every window of every text.
+
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; a text shorter than a window is
 padded with byte 0, which is embedded like any other; long texts are scored whole, as the mean of their windows' log
-probabilities weighted by length; repeated rows get equal results; an empty table gives an empty one; further
-columns are not read.  Without labelled rows nothing can be learned and ``train`` raises ValueError.
+probabilities weighted by length; of languages that tie the first by name is taken; repeated rows get equal results;
+an empty table gives an empty one; further columns are not read.  Without labelled rows no language is known, and all
+texts are ``und``.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +26,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, label_sample
+from .common import bound_batches, label_sample
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 EMBED = 8
 MOST_DOCS = 4_000  # bound of the training sample
-WINDOWS_A_DOC = 3
+WINDOWS_A_DOC = 3  # in the training sample
 STEPS, BATCH = 700, 64
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SPAN = max(WIDTHS)
 _PLACES = WINDOW - _SPAN + 1
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def windows(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """All windows of a text and how many bytes of it each holds."""
     n = max(1, -(-len(raw) // WINDOW))
@@ -129,7 +137,7 @@ class Scorer:
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [t if t is not None and _LETTER.search(t) else None for t in texts]
+        known = [t if self.classes and has_letter(t) else None for t in texts]
         parts = [windows(t.encode()) for t in known if t is not None]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if parts:
@@ -146,28 +154,36 @@ class Scorer:
         return langs, scores
 
 
-def train(labelled: DataFrame, most: int = MOST_DOCS, seed: int = 5) -> Network:
-    """``labelled``: (doc_id, text, lang).  At most about ``most`` documents, by a hash of the id, reach the driver."""
-    rows = label_sample(labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang"), most).collect()
-    rows = sorted(((r["doc_id"], r["text"], r["lang"]) for r in rows if _LETTER.search(r["text"])), key=lambda r: (r[0], r[1], r[2]))
-    if not rows:
-        raise ValueError("no labelled text to learn from")
-    rng = np.random.default_rng(seed)
-    classes = sorted({r[2] for r in rows})
-    grids, labels = [], []
-    for _, text, lang in rows:
-        grid, _ = windows(text.encode())
-        pick = rng.choice(len(grid), min(WINDOWS_A_DOC, len(grid)), replace=False)
-        grids.append(grid[pick])
-        labels += [classes.index(lang)] * len(pick)
+def train(labelled: DataFrame, most: int = MOST_DOCS) -> Network:
+    """``labelled``: (doc_id, text, lang).  Of at most about ``most`` documents, by a hash, some windows reach the driver."""
+    bound_batches(labelled.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if has_letter(text):
+                    raw = text.encode()
+                    grid, _ = windows(raw)
+                    pick = np.random.default_rng(zlib.crc32(raw)).choice(len(grid), min(WINDOWS_A_DOC, len(grid)), replace=False)
+                    rows.append((doc, lang, grid[pick].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "lang", "windows"])
+
+    known = labelled.where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    rows = label_sample(known, most).mapInArrow(cut, "doc_id long, lang string, windows binary").collect()
+    rows = sorted((r["lang"], bytes(r["windows"])) for r in rows)
+    classes = sorted({lang for lang, _ in rows})
     net = Network(classes)
-    net.fit(np.concatenate(grids), np.array(labels))
+    if rows:
+        grids = [np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for _, w in rows]
+        net.fit(np.concatenate(grids), np.repeat([classes.index(lang) for lang, _ in rows], [len(g) for g in grids]))
     return net
 
 
 def identify(docs: DataFrame, net: Network, held_out: Column | None = None) -> DataFrame:
     """Adds lang_pred and score to (doc_id, held_out) of every row of ``docs``."""
-    batch_rows(docs.sparkSession, 300)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 80 kB, fixed by the network's shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,8 @@ links only.  So every candidate pair is in one component or compared, no pair is
 
 Defined results: a null or empty text, and one without words, has an empty set and is linked with nothing; texts
 shorter than a shingle are one shingle; long texts are taken whole; repeated rows (equal doc_id) are returned as often
-as they come, in one component; rows without doc_id are linked with nothing and come back with a null component; an
+as they come, in one component, and if their texts differ one of these stands for the document, the same in every run;
+a tie at the threshold is a link; rows without doc_id are linked with nothing and come back with a null component; an
 empty table gives an empty one; further columns are not read.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sieve
-from .common import batch_rows, settle, texts
+from .common import bound_batches, forget, settle, texts
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -74,7 +75,7 @@ def describe(docs: DataFrame, words: int, number: int, each: int, among: DataFra
     """(doc_id, n, s1, s2, sketches): the size of each set, two sums over it that stand for it, and its sketches."""
     spark = docs.sparkSession
     shared = None if among is None else spark.sparkContext.broadcast(sieve.build(among.select("doc_id"), among.count()))  # 4 MB at most
-    batch_rows(spark, 500)
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +101,7 @@ def full_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """(doc_id, hashes) of the wanted documents; the sieve spares the others before their sets are built."""
     n = wanted.count()
     shared = docs.sparkSession.sparkContext.broadcast(sieve.build(wanted.select("doc_id"), n))  # 4 MB at most
-    batch_rows(docs.sparkSession, 500)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +113,7 @@ def full_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep[part]]), pa.array(out, pa.binary())], ["doc_id", "hashes"])
 
     rows = texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, hashes binary")
-    return rows.join(wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.join(wanted.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("hashes").alias("hashes"))
 
 
 def _linked(same: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -121,7 +122,7 @@ def _linked(same: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    batch_rows(pairs.sparkSession, 500)
+    bound_batches(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,20 +195,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: in
     described = settle(describe(docs, words, number, each, among), "sets")
     same = ["n", "s1", "s2"]
     classes = settle(described.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class")), "classes")
-    heads = settle(described.join(classes.withColumnRenamed("class", "doc_id"), [*same, "doc_id"]).select("doc_id", "n", "sketches").dropDuplicates(["doc_id"]), "heads")
+    heads = settle(described.join(classes.withColumnRenamed("class", "doc_id"), [*same, "doc_id"]).groupBy("doc_id").agg(F.max(F.struct("n", "sketches")).alias("x")).select("doc_id", "x.*"), "heads")
 
     halves = heads.select("doc_id", "n", F.posexplode("sketches").alias("k", "sketch"))
     shared = settle(halves.groupBy("k", "sketch").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k", "sketch"), "halves")
     own = halves.join(shared, ["k", "sketch"]).groupBy("doc_id", "n").agg(F.collect_list(F.struct("k", "sketch")).alias("own"))
     keys = own.select("doc_id", "n", F.explode(F.filter("own", lambda x: x.k < number)).alias("x"), "own").select("doc_id", "n", "x", F.explode(F.filter("own", lambda y: y.k >= number)).alias("y"))
     keys = settle(keys.select(F.xxhash64("x.k", "x.sketch", "y.k", "y.sketch").alias("key"), "doc_id", "n"), "keys")
+    forget(heads, shared)
     full = settle(keys.groupBy("key").count().where("count > 1"), "full")
     met = settle(keys.join(full, "key"), "met")
+    forget(keys, full)
     weight = settle(met.groupBy("doc_id").agg(F.sum("count").alias("weight")), "weight")
     weighed = settle(met.drop("count").join(weight, "doc_id"), "weighed")
+    forget(met)
     rank = F.struct(F.col("weight"), (-F.col("doc_id")).alias("least"), F.col("n"))
     hubs = settle(weighed.groupBy("key").agg(F.max(rank).alias("hub")), "hubs")
     members = settle(weighed.select("key", "doc_id", "n").join(hubs, "key"), "members")
+    forget(weighed, hubs)
 
     # each document against the weightiest hub among its keys; sizes beyond the threshold can't be linked
     best = members.groupBy("doc_id", "n").agg(F.max("hub").alias("hub")).select((-F.col("hub.least")).alias("a"), F.col("doc_id").alias("b"), "n", F.col("hub.n").alias("hub_n"))
@@ -218,21 +223,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: in
 
     placed = members.select("key", (-F.col("hub.least")).alias("hub"), "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = settle(placed, "placed")
+    forget(members, stars)
     mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
     opened = settle(placed.join(mixed, "key").select("hub", "doc_id", "component").distinct(), "opened")
+    forget(placed, mixed)
     major = settle(opened.groupBy("hub", "component").count().groupBy("hub").agg(F.max(F.struct("count", "component")).alias("most")).select("hub", F.col("most.component").alias("major")), "major")
-    opened = settle(opened.join(major, "hub").select("hub", "doc_id", "component", (F.col("component") != F.col("major")).alias("is_minor")), "opened")
-    more = settle(links_by_hub(opened, sets, percent), "links")
+    split = settle(opened.join(major, "hub").select("hub", "doc_id", "component", (F.col("component") != F.col("major")).alias("is_minor")), "split")
+    more = settle(links_by_hub(split, sets, percent), "links")
+    forget(opened, major, split, sets, weight)
     if more.limit(1).count():
+        forget(labels)
         labels = components(links.union(more))
 
     lowest = classes.join(labels, classes["class"] == labels.node, "left").select(*same, F.coalesce("component", "class").alias("component_id"))
     out = described.drop("sketches").join(settle(lowest, "lowest"), same, "left")
+    forget(classes, labels, links, more)
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, each: int = 2) -> DataFrame:
-    """The rows of ``docs`` but for those that a component keeps another document of; equal rows stay one."""
+    """The rows of ``docs`` but for those that a component keeps another document of; rows of equal doc_id and text stay one."""
     found = near_duplicates(docs, words, percent, each).where("not kept").select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti")  # copies may be most of a corpus: never a broadcast side
+    left = docs.join(found.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))  # copies may be most of a corpus: never a broadcast side
+    repeated = settle(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.limit(1).count():
+        return left
+    again = left.join(repeated.hint("merge"), "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return left.join(repeated.hint("merge"), "doc_id", "left_anti").select(*left.columns).unionByName(again.dropDuplicates(["doc_id", "text"]))

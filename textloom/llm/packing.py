@@ -2,12 +2,14 @@
 
 Lengths are whole numbers up to the capacity, so that all a plan needs of the corpus is one count per length: at
 most ``capacity`` rows, whatever the input.  On these counts each bin is filled by a subset-sum dynamic programme
-over a bitset; the fullest combination is taken off as often as the counts allow in one step, so that the plan has
-a few thousand patterns.  The pieces are then numbered within their length (salted, so that no length meets in
+over a bitset; the fullest combination among those with the largest length left is taken off as often as the counts
+allow in one step, so that the plan has a few thousand patterns.  The pieces are then numbered within their length (salted, so that no length meets in
 one task) and a piece's number says which pattern, bin and place are its own.
 
-Defined results: a null or empty text is one piece that holds the end id alone; repeated rows are packed once
-each; an empty table gives an empty result; further columns are not read.
+Defined results: a null or empty text is one piece that holds the end id alone; a long text is cut whole into pieces;
+repeated rows are packed once each; pieces of one length are numbered by salt, doc_id, piece, start and checksum, so
+that only equal rows tie, and these may swap places; an empty table gives an empty result; further columns are not
+read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, settle, texts
+from .common import bound_batches, settle, texts
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -28,22 +30,23 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each document (its ids and the end id); only longer documents are cut."""
-    batch_rows(docs.sparkSession, 500)
+    bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            if rows:
-                cols = list(zip(*rows, strict=True))[: 6 if with_ids else 5]
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names[: len(cols)])
+        with encoder(vocabulary) as enc:
+            for batch in batches:
+                ids, limits = enc.column(batch.column(1))
+                rows: list[tuple] = []
+                for doc, a, b in zip(batch.column(0).to_pylist(), limits[:-1].tolist(), limits[1:].tolist(), strict=True):
+                    own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4").tobytes()
+                    for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                        part = own[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
+                if rows:
+                    cols = list(zip(*rows, strict=True))[: 6 if with_ids else 5]
+                    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names[: len(cols)])
 
     return texts(docs).mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
 

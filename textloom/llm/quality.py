@@ -1,14 +1,16 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer numpy network.
 
 Every token bucket has a fixed sparse random index vector.  A bucket's context vector is the sum of the index vectors
-of the tokens around it over the *whole* corpus: a sum, so that each task adds up its own part and the parts are
-added by bucket.  There are ``BUCKETS`` buckets of ``DIM`` numbers, whatever the corpus (4 MB).  A document is the
+of the tokens around it over the *whole* corpus: a sum, so that each task adds up its own part of the input, however
+many tasks there are, and the parts are added by bucket.  There are ``BUCKETS`` buckets of ``DIM`` numbers, whatever
+the corpus (4 MB).  A document is the
 mean and the spread of its tokens' unit vectors, and a two-layer network on these, trained with numpy, gives a logit
 whose temperature is fitted on labelled documents that the network did not train on.
 
-Defined results: null and empty texts are pooled as a zero vector and scored like any other; repeated rows get
-equal results; long texts are pooled whole; an empty table gives an empty one; further columns are not read.
-Without labelled rows of both kinds nothing can be learned and ``train`` raises ValueError.
+Defined results: null and empty texts are pooled as a zero vector and scored like any other; ties don't arise, a score
+depends on its own text alone; repeated rows get equal results; long texts are pooled whole; an empty table gives an
+empty one; further columns are not read.  Without labelled rows of both kinds every text scores the share of label 1
+among the labels, 0.5 without any.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, label_sample, texts
+from .common import bound_batches, label_sample, texts
 
 BUCKETS = 1 << 14
 DIM = 64
@@ -71,7 +73,7 @@ class Words:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors (BUCKETS, DIM) from all documents; what reaches the driver is this fixed-size table."""
-    batch_rows(docs.sparkSession, 500)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
@@ -107,9 +109,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             # whole numbers: their sum doesn't depend on the order of the tasks
             yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(list(grid[rows].astype(np.int64)), pa.list_(pa.int64()))], ["bucket", "v"])
 
-    # each task adds up a table of its own: no more tasks than the cores can use
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    parts = texts(docs).select("text").coalesce(tasks).mapInArrow(run, "bucket int, v array<long>")
+    parts = texts(docs).select("text").mapInArrow(run, "bucket int, v array<long>")
     summed = parts.groupBy("bucket").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)))
     out = np.zeros((BUCKETS, DIM), dtype=np.float64)
     got = summed.toPandas()
@@ -136,6 +136,13 @@ class Network:
         self.p = {"a": rng.normal(0, np.sqrt(2 / width), (width, HIDDEN)), "ab": np.zeros(HIDDEN), "b": rng.normal(0, 0.1, HIDDEN), "bb": np.zeros(1)}
         self.temperature = 1.0
 
+    @classmethod
+    def constant(cls, width: int, share: float) -> Network:
+        net = cls(width)
+        net.p["b"][:] = 0
+        net.p["bb"][:] = np.log(max(share, 1e-12) / max(1 - share, 1e-12))
+        return net
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         h = np.maximum(((x - self.shift) / self.scale) @ self.p["a"] + self.p["ab"], 0)
         return h @ self.p["b"] + self.p["bb"][0]
@@ -198,18 +205,18 @@ def train(labelled: DataFrame, vectors: np.ndarray, most: int = MOST_DOCS) -> Ne
             x = [pool(words.ids(t or ""), shared.value).tolist() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
-    rows = label_sample(labelled.where("quality is not null"), most).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text")
+    rows = label_sample(labelled.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text"), most)
     got = rows.mapInArrow(run, "doc_id long, quality int, x array<float>").toPandas()
     got = got.sort_values(["doc_id", "quality"], kind="stable")
     if got["quality"].nunique() < 2:
-        raise ValueError("labels of both kinds are needed to learn from")
+        return Network.constant(2 * DIM + 3, float(got["quality"].mean()) if len(got) else 0.5)
     return fit(np.array(got["x"].tolist(), dtype=np.float64), got["quality"].to_numpy(dtype=np.float64))
 
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, held_out: Column | None = None, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     spark = docs.sparkSession
-    batch_rows(spark, 500)
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast((vectors, net))  # 4 MB and a small network, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonyms.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), b"textloom-production")
+    out = pseudonyms.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), pseudonyms.key_of(spark))
     return out.select("doc_id", *(F.col(f"_found.{k}").alias(f"n_{k}") for k in pseudonyms.KINDS), "text")
 
 
@@ -35,7 +35,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = documents(spark, sf_dir).select("doc_id", "text", "lang"), remainder(4) == 2
+    docs, held = documents(spark, sf_dir), remainder(4) == 2
     return language.identify(docs, language.train(docs.where(~held)), held)
 
 

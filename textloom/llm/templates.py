@@ -18,9 +18,10 @@ lines doesn't matter and a leaf with a third of all lines is summed like any oth
 reach are left out before any text is moved.
 
 Defined results: null and empty texts, and blank lines, have no template and stay; a line is what stands between
-newlines, however long; repeated rows (equal doc_id) count as one document and lose the same lines; rows without
-doc_id are not counted and stay as they are; an empty table gives an empty one; other columns are kept, whatever
-their names.
+newlines, however long; repeated rows (equal doc_id) count as one document and lose the same lines; a token that
+exactly the least number of documents have is constant, a template of exactly the least number of components recurs;
+rows without doc_id are not counted and stay as they are; an empty table gives an empty one; other columns are kept,
+whatever their names, but that _lines and _dropped are this operator's own.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup, sieve
-from .common import batch_rows, settle, texts
+from .common import bound_batches, forget, settle, texts
 
 DEPTH = 3
 SHARE = 0.6
@@ -74,7 +75,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
 
     fresh: the first such line of its row; whole: a hash of the row's text.
     """
-    batch_rows(docs.sparkSession, 500)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +97,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
 def masked_lines(docs: DataFrame, leaves: DataFrame) -> DataFrame:
     """(leaf, mask, masked) of the distinct lines in ``leaves``."""
     shared = docs.sparkSession.sparkContext.broadcast(sieve.build(leaves.select("leaf"), leaves.count()))  # 4 MB at most
-    batch_rows(docs.sparkSession, 500)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -138,6 +139,7 @@ def find_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = settle(lines.groupBy("leaf", "mask", "n").agg(F.sum(F.col("fresh").cast("long")).alias("docs")), "groups")
     leaves = settle(groups.groupBy("leaf", "n").agg(F.sum("docs").alias("size")).where(F.col("size") >= need()), "leaves")
     held = settle(masked_lines(docs, leaves).join(groups, ["leaf", "mask"]), "masked")
+    forget(groups)
 
     places = held.select("leaf", "mask", "n", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token")).withColumn("literal", F.col("token") != ANY).withColumn("token", F.xxhash64("token"))
     constant = places.groupBy("leaf", "place", "token", "n").agg(F.sum("docs").alias("times")).where(F.col("times") >= need())
@@ -146,10 +148,13 @@ def find_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = fixed.select("leaf", "mask", "n", F.explode(F.array_distinct(F.transform(levels("size"), _level))).alias("level")).select("leaf", "mask", "n", "level.*")
     named = named.where(F.col("constants") >= SHARE * F.col("n")).select("leaf", "mask", "n", "constants", F.xxhash64("leaf", "places").alias("template"))
     named = settle(named, "named")
+    forget(constant, leaves)
     found = settle(lines.select("doc_id", "line", "leaf", "mask", "whole").join(named, ["leaf", "mask"]).select("doc_id", "line", "template", "n", "constants", "whole"), "found")
+    forget(lines)
     # different texts are at least as many as components: templates with too few need none
     likely = settle(found.groupBy("template", "n").agg(F.count_distinct("whole").alias("texts")).where(F.col("texts") >= need()).select("template"), "likely")
     held_by = settle(found.join(likely, "template").select("doc_id", "line", "template", "n", "constants"), "held")
+    forget(found, likely)
     among = settle(held_by.select("doc_id").distinct(), "among")
     copies = neardup.near_duplicates(docs, **COPIES, among=among).groupBy("doc_id").agg(F.min("component_id").alias("component"))
     across = held_by.join(settle(copies, "copies"), "doc_id").groupBy("template", "n").agg(
@@ -180,10 +185,12 @@ def _without(text: pd.Series, drops: pd.Series) -> pd.DataFrame:
 def drop_templates(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` without the recurring lines, and with _lines and _dropped."""
     drops, _ = find_templates(docs)
-    of = settle(drops.groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_doc"), "drops")
-    batch_rows(docs.sparkSession, 500)
+    of = settle(drops.groupBy("doc_id").agg(F.collect_list("line").alias("gone")), "drops")
+    bound_batches(docs.sparkSession)
     without = F.pandas_udf(_without, "struct<text: string, lines: int, dropped: int>")
-    # as many documents may lose lines as there are: never a broadcast side, however few they are in one corpus
-    joined = docs.join(of.hint("merge"), F.col("doc_id").cast("long") == F.col("_doc"), "left").withColumn("_got", without("text", "_gone"))
-    kept = [F.col("_got.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*kept, F.col("_got.lines").alias("_lines"), F.col("_got.dropped").alias("_dropped"))
+    # the row travels as one struct, so that no column of it can clash with the join's own; as many documents may lose
+    # lines as there are: never a broadcast side, however few they are in one corpus
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    joined = rows.join(of.hint("merge"), "doc_id", "left").withColumn("got", without("row.text", "gone"))
+    kept = [F.col("got.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_dropped")]
+    return joined.select(*kept, F.col("got.lines").alias("_lines"), F.col("got.dropped").alias("_dropped"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch_rows, texts
+from .common import bound_batches, texts
 
 #: Fixed values of the container format and of this writer's program.
 PACKET, SYNC = 188, 0x47
@@ -194,7 +194,7 @@ def payload(text: str) -> bytes:
 
 def write_media(docs: DataFrame, path: str) -> None:
     """A Parquet media table: doc_id, n_bytes, media (the transport stream), times and random-access points of each."""
-    batch_rows(docs.sparkSession, 500)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +217,7 @@ def write_media(docs: DataFrame, path: str) -> None:
 
 def read_media(spark: SparkSession, path: str, with_samples: bool = False) -> DataFrame:
     """Parses the stored streams; digests and features are of what was read, and its times must be the table's."""
-    batch_rows(spark, 500)
+    bound_batches(spark)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access_points", "samples"]
     names = names if with_samples else names[:-1]
 
