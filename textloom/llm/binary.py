@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, texts
+from .common import bound_batches, texts, tidy
 from .tokens import encoder
 
 #: Simple-8b: ids a word, and bits an id, by selector (fixed values of the format; 0 is this file's escape).
@@ -183,7 +183,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataF
                 part = np.searchsorted(limits, batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), side="right")
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32)), pa.array(out, pa.binary())], ["doc_id", "part", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, part int, ids binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, part int, ids binary")
 
 
 def write_segments(encoded: DataFrame, path: str, most_ids: int = 1 << 19, most_docs: int = 1 << 14) -> None:
@@ -222,7 +222,7 @@ def write_segments(encoded: DataFrame, path: str, most_ids: int = 1 << 19, most_
         if docs:
             yield flush()
 
-    ordered.select("doc_id", "ids", "part").mapInArrow(run, "part int, segment long, before long, first_doc long, n_docs long, n_ids long, blob binary").write.parquet(path)
+    ordered.select("doc_id", "ids", "part").mapInArrow(tidy(run), "part int, segment long, before long, first_doc long, n_docs long, n_ids long, blob binary").write.parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -244,5 +244,5 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(docs, mask=docs == NO_ID), pa.array(np.full(len(docs), part, np.int32)), pa.array(begin + before), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "at", "n_tokens", "ids_crc32"]
                 )
 
-    rows = stored.select("part", "before", "blob").mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    rows = stored.select("part", "before", "blob").mapInArrow(tidy(run), "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(parts.select("part", "base")), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

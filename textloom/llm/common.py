@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: dict[str, str] = {}
 
@@ -65,6 +68,20 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the Python worker, which lives on for other tasks, gives freed memory back to the system."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+                trim(0)
+
+    return tidied
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with a null text as the empty one; other columns, whatever their names, are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -76,12 +93,16 @@ def remainder(mod: int, column: str = "doc_id") -> Column:
 
 
 def label_sample(rows: DataFrame, most: int, most_chars: int = 1 << 26) -> DataFrame:
-    """About ``most`` of ``rows`` and ``most_chars`` of their texts, by a hash of all columns: every run takes the same.
+    """About ``most`` of ``rows`` and ``most_chars`` of their texts, by hashes: every run and partitioning takes the same.
 
-    One pass fixes the hash limit; the limit is what bounds what the driver may collect.  Equal rows count once.
+    A count fixes a limit on the id's hash, which Spark applies on both sides of a join by id, before any text moves;
+    a second limit, on the hash of all columns, is for long texts and for many rows of one id.  Equal rows count once.
     """
+    n = rows.count()
+    limit = F.lit(1 << 30)
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), limit) < int(most / n * (1 << 30)))
+    rows = settle(rows.dropDuplicates(), "sample")
     n, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
-    share = min(1.0, most / max(1, n), most_chars / max(1, chars or 0))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(*rows.columns, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return rows.dropDuplicates()
+    share = min(1.0, 2 * most / max(1, n), most_chars / max(1, chars or 0))
+    return rows if share == 1 else rows.where(F.pmod(F.xxhash64(*rows.columns), limit) < int(share * (1 << 30)))

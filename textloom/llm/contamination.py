@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, texts
+from .common import bound_batches, texts, tidy
 
 PASSAGE, STRIDE = 96, 48  # words
 THRESHOLD = 0.5  # of the score of the item's own text
@@ -246,7 +246,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = THRESHOLD
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-        part = texts(docs).mapInArrow(run, schema)
+        part = texts(docs).mapInArrow(tidy(run), schema)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -264,5 +264,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = THRESHOLD,
                 hits = shared.value.documents([t or "" for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

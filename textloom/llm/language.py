@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, label_sample
+from .common import bound_batches, label_sample, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -171,7 +171,7 @@ def train(labelled: DataFrame, most: int = MOST_DOCS) -> Network:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "lang", "windows"])
 
     known = labelled.where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    rows = label_sample(known, most).mapInArrow(cut, "doc_id long, lang string, windows binary").collect()
+    rows = label_sample(known, most).mapInArrow(tidy(cut), "doc_id long, lang string, windows binary").collect()
     rows = sorted((r["lang"], bytes(r["windows"])) for r in rows)
     classes = sorted({lang for lang, _ in rows})
     net = Network(classes)
@@ -193,4 +193,4 @@ def identify(docs: DataFrame, net: Network, held_out: Column | None = None) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")

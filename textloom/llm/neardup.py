@@ -30,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sieve
-from .common import bound_batches, forget, settle, texts
+from .common import bound_batches, forget, settle, texts, tidy
 from .graph import components
 from .shingles import mix, shingle_sets
 
+MISS = 2e-4  # of the pairs at the threshold itself
 CHUNK = 1 << 18  # bytes of text hashed at a time
 
 
-def plan(threshold: float, each: int = 3, miss: float = 2e-4) -> int:
+def plan(threshold: float, each: int = 3, miss: float = MISS) -> int:
     """Sketches a collection, of ``each`` minhashes a sketch."""
     return math.ceil(math.log(miss / 2) / math.log(1 - threshold**each))
 
@@ -93,8 +94,8 @@ def describe(docs: DataFrame, words: int, number: int, each: int, among: DataFra
 
     kind = "doc_id long, n long, s1 long, s2 long, sketches array<long>"
     if among is None:
-        return texts(docs).mapInArrow(run, kind)
-    return texts(docs).where("doc_id is not null").mapInArrow(run, kind).join(among.select("doc_id"), "doc_id", "left_semi")
+        return texts(docs).mapInArrow(tidy(run), kind)
+    return texts(docs).where("doc_id is not null").mapInArrow(tidy(run), kind).join(among.select("doc_id"), "doc_id", "left_semi")
 
 
 def full_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def full_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
                 out = [s.tobytes() for s in shingle_sets(rows[part], words)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep[part]]), pa.array(out, pa.binary())], ["doc_id", "hashes"])
 
-    rows = texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, hashes binary")
+    rows = texts(docs).where("doc_id is not null").mapInArrow(tidy(run), "doc_id long, hashes binary")
     return rows.join(wanted.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("hashes").alias("hashes"))
 
 
@@ -135,7 +136,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(tidy(run), "a long, b long")
 
 
 def block_links(minor: pa.Table, members: pa.Table, percent: int) -> pa.Table:
@@ -189,9 +190,9 @@ def links_by_hub(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return minor.groupBy("hub", "i", "j").cogroup(members.groupBy("hub", "i", "j")).applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: int = 2, among: DataFrame | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: int = 2, among: DataFrame | None = None, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; with ``among`` (doc_id), of the rows of these documents alone."""
-    number = plan(percent / 100, each)
+    number = plan(percent / 100, each, miss)
     described = settle(describe(docs, words, number, each, among), "sets")
     same = ["n", "s1", "s2"]
     classes = settle(described.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class")), "classes")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, settle, texts
+from .common import bound_batches, settle, texts, tidy
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -48,7 +48,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
                     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names[: len(cols)])
 
-    return texts(docs).mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
+    return texts(docs).mapInArrow(tidy(cut), PIECES + (", ids binary" if with_ids else ""))
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:

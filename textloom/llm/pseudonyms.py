@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 ROUNDS = 10
 MOST_VALUES = 100_000
@@ -294,4 +294,4 @@ def pseudonymize(docs: DataFrame, key: bytes, with_spans: bool = False) -> DataF
     schema = T.StructType([*docs.schema.fields, T.StructField("_found", T.StructType([T.StructField(k, T.IntegerType()) for k in KINDS]))])
     if with_spans:
         schema.add("_spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pseudonym", T.StringType())])))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

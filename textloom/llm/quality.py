@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, label_sample, texts
+from .common import bound_batches, label_sample, texts, tidy
 
 BUCKETS = 1 << 14
 DIM = 64
@@ -109,7 +109,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             # whole numbers: their sum doesn't depend on the order of the tasks
             yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(list(grid[rows].astype(np.int64)), pa.list_(pa.int64()))], ["bucket", "v"])
 
-    parts = texts(docs).select("text").mapInArrow(run, "bucket int, v array<long>")
+    parts = texts(docs).select("text").mapInArrow(tidy(run), "bucket int, v array<long>")
     summed = parts.groupBy("bucket").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)))
     out = np.zeros((BUCKETS, DIM), dtype=np.float64)
     got = summed.toPandas()
@@ -206,7 +206,7 @@ def train(labelled: DataFrame, vectors: np.ndarray, most: int = MOST_DOCS) -> Ne
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
     rows = label_sample(labelled.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text"), most)
-    got = rows.mapInArrow(run, "doc_id long, quality int, x array<float>").toPandas()
+    got = rows.mapInArrow(tidy(run), "doc_id long, quality int, x array<float>").toPandas()
     got = got.sort_values(["doc_id", "quality"], kind="stable")
     if got["quality"].nunique() < 2:
         return Network.constant(2 * DIM + 3, float(got["quality"].mean()) if len(got) else 0.5)
@@ -229,4 +229,4 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, held_out: Column |
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")

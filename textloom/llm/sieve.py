@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MOST_BITS = 1 << 25
 
 
@@ -44,7 +46,7 @@ def build(keys: DataFrame, count: int) -> Sieve:
             flag = (np.uint64(1) << (bit & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array(flag)], ["word", "flag"])
 
-    got = keys.where(F.col(name).isNotNull()).mapInArrow(run, "word long, flag long").groupBy("word").agg(F.bit_or("flag").alias("flag")).toPandas()
+    got = keys.where(F.col(name).isNotNull()).mapInArrow(tidy(run), "word long, flag long").groupBy("word").agg(F.bit_or("flag").alias("flag")).toPandas()
     words = np.zeros(bits // 64, dtype=np.uint64)
     words[got["word"].to_numpy(dtype=np.int64)] = got["flag"].to_numpy(dtype=np.int64).view(np.uint64)
     return Sieve(words)

@@ -37,28 +37,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup, sieve
-from .common import bound_batches, forget, settle, texts
+from .common import bound_batches, forget, settle, texts, tidy
 
 DEPTH = 3
 SHARE = 0.6
 MIN_DOCS = 5
 LONG, LONG_DOCS = 50, 2  # a line of so many tokens is a passage, and recurs from two unlike documents on
 ANY = "<*>"
-COPIES = {"words": 5, "percent": 80, "each": 2}  # what counts as copies, as in the pipeline's near-dedup
+COPIES = {"words": 5, "percent": 80, "each": 2, "miss": 5e-3}  # what counts as copies, as in the pipeline's near-dedup; at 0.8 itself 1 link in 200 is missed
 
 _DIGIT = re.compile(r"\d")
 
 
+def masked_tokens(tokens: list[str]) -> list[str]:
+    return [ANY if _DIGIT.search(t) else t for t in tokens]
+
+
+def leaf_of(tokens: list[str]) -> int:
+    """The tree's leaf: number of tokens and the first ``DEPTH``, variable if they have a digit."""
+    return _long(f"{len(tokens)} {' '.join(masked_tokens(tokens[:DEPTH]))}")
+
+
 def parse(line: str) -> tuple[int, int, int, str] | None:
     """(number of tokens, leaf, hash of the masked line, masked line); None for a blank line."""
     tokens = line.split()
     if not tokens:
         return None
-    if _DIGIT.search(line):
-        tokens = [ANY if _DIGIT.search(t) else t for t in tokens]
-    masked = " ".join(tokens)
-    leaf = f"{len(tokens)} {' '.join(tokens[:DEPTH])}"
-    return len(tokens), _long(leaf), _long(masked), masked
+    masked = " ".join(masked_tokens(tokens) if _DIGIT.search(line) else tokens)
+    return len(tokens), leaf_of(tokens), _long(masked), masked
 
 
 def _long(text: str) -> int:
@@ -91,7 +97,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "line", "n", "leaf", "mask", "fresh", "whole"])
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, n int, leaf long, mask long, fresh boolean, whole long")
+    return texts(docs).where("doc_id is not null").mapInArrow(tidy(run), "doc_id long, line int, n int, leaf long, mask long, fresh boolean, whole long")
 
 
 def masked_lines(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -102,21 +108,24 @@ def masked_lines(docs: DataFrame, leaves: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows = [p for text in batch.column(1).to_pylist() for line in text.split("\n") if (p := parse(line))]
-            if not rows:
+            lines = [tokens for text in batch.column(1).to_pylist() for line in text.split("\n") if (tokens := line.split())]
+            if not lines:
                 continue
             keep = []
-            for i in np.flatnonzero(shared.value.passes(np.array([r[1] for r in rows], dtype=np.int64))).tolist():
-                if rows[i][2] not in seen:
-                    seen.add(rows[i][2])
-                    keep.append(rows[i])
-            if len(seen) > 500_000:
+            leaves_of = [leaf_of(tokens) for tokens in lines]
+            for i in np.flatnonzero(shared.value.passes(np.array(leaves_of, dtype=np.int64))).tolist():
+                masked = " ".join(masked_tokens(lines[i]))
+                mask = _long(masked)
+                if mask not in seen:
+                    seen.add(mask)
+                    keep.append((leaves_of[i], mask, masked))
+            if len(seen) > 200_000:
                 seen.clear()
             if keep:
-                _, leaf, mask, masked = zip(*keep, strict=True)
+                leaf, mask, masked = zip(*keep, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(mask, pa.int64()), pa.array(masked, pa.string())], ["leaf", "mask", "masked"])
 
-    rows = texts(docs).where("doc_id is not null").mapInArrow(run, "leaf long, mask long, masked string")
+    rows = texts(docs).where("doc_id is not null").mapInArrow(tidy(run), "leaf long, mask long, masked string")
     return rows.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["leaf", "mask"])
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, label_sample
+from .common import bound_batches, label_sample, tidy
 
 MOST_DOCS = 6_000  # bound of the training sample
 HEADS = (4, 5)  # characters from a longer word's start that stand for it
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, thresho
 
     schema = "doc_id long, held_out boolean, score double, predicted int"
     rows = docs.select(F.col("doc_id").cast("long"), (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held_out"), "text")
-    return rows.mapInArrow(run, schema + (", offending array<struct<sentence: int, text: string, p: double>>" if with_spans else ""))
+    return rows.mapInArrow(tidy(run), schema + (", offending array<struct<sentence: int, text: string, p: double>>" if with_spans else ""))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -207,4 +207,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
         for batch in shared.value.released(batches):
             yield batch.filter(pa.array([shared.value.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bound_batches, texts
+from .common import bound_batches, texts, tidy
 
 #: Fixed values of the container format and of this writer's program.
 PACKET, SYNC = 188, 0x47
@@ -211,7 +211,7 @@ def write_media(docs: DataFrame, path: str) -> None:
                 ["doc_id", "n_bytes", "media", "times", "access_times"],
             )
 
-    rows = texts(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary, times array<long>, access_times array<long>")
+    rows = texts(docs).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary, times array<long>, access_times array<long>")
     rows.write.option("compression", "zstd").parquet(path)
 
 
@@ -237,4 +237,4 @@ def read_media(spark: SparkSession, path: str, with_samples: bool = False) -> Da
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, access_points long"
     stored = spark.read.schema("doc_id long, n_bytes long, media binary, times array<long>, access_times array<long>").parquet(path)
-    return stored.mapInArrow(run, schema + (", samples binary" if with_samples else ""))
+    return stored.mapInArrow(tidy(run), schema + (", samples binary" if with_samples else ""))
