@@ -43,6 +43,11 @@ def plan(threshold: float, each: int = 3, miss: float = MISS) -> int:
     return math.ceil(math.log(miss / 2) / math.log(1 - threshold**each))
 
 
+def tables(threshold: float, each: int, miss: float) -> int:
+    """Independent tables, keyed by one sketch of ``each`` minhashes, without tensoring."""
+    return math.ceil(math.log(miss) / math.log(1 - threshold**each))
+
+
 def _chunks(rows: list[str]) -> Iterator[slice]:
     begin = size = 0
     for i, t in enumerate(rows):
@@ -190,20 +195,27 @@ def links_by_hub(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return minor.groupBy("hub", "i", "j").cogroup(members.groupBy("hub", "i", "j")).applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: int = 2, among: DataFrame | None = None, miss: float = MISS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; with ``among`` (doc_id), of the rows of these documents alone."""
-    number = plan(percent / 100, each, miss)
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, each: int = 2, among: DataFrame | None = None, miss: float = MISS, tensored: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; with ``among`` (doc_id), of the rows of these documents alone.
+
+    Not ``tensored``: a key is one sketch, which takes more minhashes and fewer rows for the same ``miss``.
+    """
+    number = plan(percent / 100, each, miss) if tensored else -(-tables(percent / 100, each, miss) // 2)
     described = settle(describe(docs, words, number, each, among), "sets")
     same = ["n", "s1", "s2"]
     classes = settle(described.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class")), "classes")
     heads = settle(described.join(classes.withColumnRenamed("class", "doc_id"), [*same, "doc_id"]).groupBy("doc_id").agg(F.max(F.struct("n", "sketches")).alias("x")).select("doc_id", "x.*"), "heads")
 
     halves = heads.select("doc_id", "n", F.posexplode("sketches").alias("k", "sketch"))
-    shared = settle(halves.groupBy("k", "sketch").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k", "sketch"), "halves")
-    own = halves.join(shared, ["k", "sketch"]).groupBy("doc_id", "n").agg(F.collect_list(F.struct("k", "sketch")).alias("own"))
-    keys = own.select("doc_id", "n", F.explode(F.filter("own", lambda x: x.k < number)).alias("x"), "own").select("doc_id", "n", "x", F.explode(F.filter("own", lambda y: y.k >= number)).alias("y"))
-    keys = settle(keys.select(F.xxhash64("x.k", "x.sketch", "y.k", "y.sketch").alias("key"), "doc_id", "n"), "keys")
-    forget(heads, shared)
+    if tensored:
+        shared = settle(halves.groupBy("k", "sketch").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k", "sketch"), "halves")
+        own = halves.join(shared, ["k", "sketch"]).groupBy("doc_id", "n").agg(F.collect_list(F.struct("k", "sketch")).alias("own"))
+        keys = own.select("doc_id", "n", F.explode(F.filter("own", lambda x: x.k < number)).alias("x"), "own").select("doc_id", "n", "x", F.explode(F.filter("own", lambda y: y.k >= number)).alias("y"))
+        keys = settle(keys.select(F.xxhash64("x.k", "x.sketch", "y.k", "y.sketch").alias("key"), "doc_id", "n"), "keys")
+        forget(heads, shared)
+    else:
+        keys = settle(halves.select(F.xxhash64("k", "sketch").alias("key"), "doc_id", "n"), "keys")
+        forget(heads)
     full = settle(keys.groupBy("key").count().where("count > 1"), "full")
     met = settle(keys.join(full, "key"), "met")
     forget(keys, full)

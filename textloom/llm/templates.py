@@ -44,7 +44,7 @@ SHARE = 0.6
 MIN_DOCS = 5
 LONG, LONG_DOCS = 50, 2  # a line of so many tokens is a passage, and recurs from two unlike documents on
 ANY = "<*>"
-COPIES = {"words": 5, "percent": 80, "each": 2, "miss": 5e-3}  # what counts as copies, as in the pipeline's near-dedup; at 0.8 itself 1 link in 200 is missed
+COPIES = {"words": 5, "percent": 80, "each": 5, "miss": 5e-3, "tensored": False}  # what counts as copies, as in the pipeline's near-dedup; at 0.8 itself 1 link in 200 is missed
 
 _DIGIT = re.compile(r"\d")
 
