@@ -1,11 +1,12 @@
 """Operators 3, 7 and 10: gradients, held-out accuracy, edge cases."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import language, quality, toxicity
-from textloom.llm.common import remainder
+from textloom.llm.common import BATCH_BYTES, bound_batches, remainder, tidy
 
 SF = "/root/testdata/sf0.01"
 
@@ -47,6 +48,18 @@ def test_tables_are_the_network():
     assert np.allclose(language.Scorer(net).log_probabilities(grid), want, atol=1e-4)
 
 
+def test_batches_are_bounded(spark):
+    bound_batches(spark)
+    rows = spark.range(64).selectExpr("id", "repeat('0123456789abcdef', 8192) AS text")  # 128 kB each
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    got = [r["n"] for r in rows.coalesce(1).mapInArrow(tidy(sizes), "n long").collect()]
+    assert len(got) > 3 and max(got) <= BATCH_BYTES + (1 << 18)
+
+
 def test_language(spark, docs, odd, none):
     held = remainder(4) == 2
     net = language.train(docs.select("doc_id", "text", "lang").where(~held))

@@ -62,9 +62,10 @@ def bound_batches(spark: SparkSession) -> None:
     """Arrow batches end at ``BATCH_BYTES`` (one row at least), however long the texts are.
 
     Spark has no such setting for one query; the value is the same for all operators, so that their order doesn't
-    matter, and a session that has set its own keeps it.
+    matter, and a session that has set a smaller one keeps it.
     """
-    if spark.conf.get(_BATCH_CONF).rstrip("bB") == str((1 << 31) - 1):
+    held = spark.conf.get(_BATCH_CONF).rstrip("bB")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
