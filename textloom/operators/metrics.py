@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def doc_scores(windows: DataFrame, scores: DataFrame, constants: list[str]) -> DataFrame:
-    """Largest window score of a document; excluded windows don't count, a window without a score is an error."""
-    kept = windows.where(~F.coalesce("dedup_excluded", F.lit(False))).join(scores, "window_id", "left")
+def pooled_scores(windows: DataFrame, constants: list[str]) -> DataFrame:
+    """Largest score of a document's windows; excluded windows don't count, a window without a score is an error."""
     checked = F.when(F.col("score").isNull() | F.isnan("score"), F.raise_error(F.lit("a window has no score")).cast("double")).otherwise(F.col("score"))
+    kept = windows.where(~F.coalesce("dedup_excluded", F.lit(False)))
     return kept.withColumn("score", checked).groupBy("doc_id").agg(F.max("score").alias("score"), *(F.min(c).alias(c) for c in constants))
 
 
+def doc_scores(windows: DataFrame, scores: DataFrame, constants: list[str]) -> DataFrame:
+    """``pooled_scores`` with scores from a table of their own."""
+    return pooled_scores(windows.join(scores, "window_id", "left"), constants)
+
+
 def _by_score(rows: DataFrame, by: list[str]) -> DataFrame:
     """Positives and negatives of each distinct score: the counts that all rank metrics need, summed before any window."""
     pos = F.sum((F.col("label") == 1).cast("long"))

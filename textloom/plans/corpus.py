@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit, dedup, splits, windows
+from ..functions.spans import injection_spans
+from ..operators import audit, dedup, labels, splits, windows
 from .registry import Tables, query
 
 NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -162,8 +163,9 @@ _HITS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''
 
 @query(f"SELECT doc_id, CASE WHEN len(h) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, array_to_string(h, ',') AS hits FROM (SELECT doc_id, {_HITS} AS h FROM documents)")
 def regex_hits(t: Tables) -> DataFrame:
-    c = F.col("text")
-    return t.documents.select("doc_id", X.match_any(c, PATTERNS).alias("score"), F.array_join(X.match_list(c, PATTERNS).cast("array<string>"), ",").alias("hits"))
+    """Each pattern is tried once: the score is whether the list of hits has any."""
+    found = t.documents.select("doc_id", F.array_join(X.match_list(F.col("text"), PATTERNS).cast("array<string>"), ",").alias("hits"))
+    return found.select("doc_id", (F.col("hits") != "").cast("double").alias("score"), "hits")
 
 
 @query(f"""WITH h AS (SELECT doc_id, toxic, {_HITS} AS h FROM documents JOIN labels USING (doc_id)), x AS (SELECT toxic, len(h) = 1 AS alone, unnest(h) AS pattern FROM h)
@@ -305,3 +307,41 @@ def attack_variants(t: Tables) -> DataFrame:
 def filter_cascade(t: Tables) -> DataFrame:
     v = F.col("value")
     return t.events.select(F.col("event_id").alias("cand_id"), audit.filter_cascade([("empty", v.isNull()), ("length", v > 60), ("jaccard_high", v < 1), ("entities", F.col("user_id") % 7 == 0)]).alias("reason"))
+
+
+#: Turns as documents of clusters: a conversation is one, its first turn the clean document, even turns are attacked.
+_TURNS = "SELECT conv_id * 1000 + turn AS doc_id, conv_id AS cluster_id, turn, CASE WHEN turn % 2 = 1 THEN CASE conv_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END END AS lang FROM conversations"
+
+
+@query(f"""WITH d AS ({_TURNS}), c AS (SELECT cluster_id, arg_min(lang, doc_id) AS l FROM d WHERE turn = 1 GROUP BY 1)
+SELECT doc_id, CASE WHEN turn % 2 = 0 THEN coalesce(c.l, 'unk') ELSE lang END AS lang FROM d LEFT JOIN c USING (cluster_id)""")
+def inherited_languages(t: Tables) -> DataFrame:
+    third = F.col("conv_id") % 3
+    own = F.when(F.col("turn") % 2 == 1, F.when(third == 0, "en").when(third == 1, "de"))
+    docs = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").alias("cluster_id"), "turn", own.alias("lang"))
+    return labels.inherited_language(docs, F.col("turn") % 2 == 0, F.col("turn") == 1).select("doc_id", "lang")
+
+
+@query("""WITH u AS (SELECT DISTINCT o_orderpriority AS suite, CAST(o_custkey % 40 AS VARCHAR) AS task FROM orders)
+SELECT suite, task, row_number() OVER (PARTITION BY suite ORDER BY md5('val:' || task), task) <= greatest(round_even(0.2 * count(*) OVER (PARTITION BY suite), 0), 1) AS chosen FROM u""")
+def validation_tasks(t: Tables) -> DataFrame:
+    return labels.validation_tasks(t.orders.select(F.col("o_orderpriority").alias("suite"), (F.col("o_custkey") % 40).cast("string").alias("task")), 0.2)
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 2 THEN CASE WHEN event_type = 'view' OR value > 20 THEN 'test' ELSE 'excluded' END WHEN value > 20 THEN 'excluded' WHEN user_id % 5 = 0 THEN 'val' ELSE 'train' END AS split,
+CASE WHEN event_type = 'view' THEN event_type || '_e6' ELSE event_type END AS source_key FROM (SELECT event_id, user_id, event_type, CASE WHEN event_type = 'view' THEN 0 ELSE value END AS value FROM events)""")
+def contract_splits(t: Tables) -> DataFrame:
+    """Views are clean runs; a value above 20 stands for the held-out attack."""
+    view = F.col("event_type") == "view"
+    attack = F.when(~view, F.when(F.col("value") > 20, "held").otherwise("other"))
+    split = labels.contract_split(F.col("user_id") % 3 == 2, F.col("user_id") % 5 == 0, attack, "held")
+    return t.events.select("event_id", split.alias("split"), labels.source_key(F.col("event_type"), F.when(view, "e6")).alias("source_key"))
+
+
+@query()
+def injected_spans(t: Tables) -> DataFrame:
+    """Words of the test items as needles in the turns, found as they are or behind YAML escapes."""
+    turns = t.conversations.select("conv_id", "turn", F.replace(F.col("text"), F.lit("'"), F.lit("''")).alias("text"))
+    needles = F.array(*(F.lit(x) for x in ("the ", "don't", "is not")))
+    got = turns.select("conv_id", "turn", injection_spans(F.col("text"), needles).alias("s"))
+    return got.select("conv_id", "turn", F.size("s.spans").alias("n"), F.col("s.mode").alias("mode"))

@@ -26,10 +26,21 @@ AUC_SQL = """(SELECT {by}, sum(p) AS n_pos, sum(n) AS n_neg, CASE WHEN sum(p) >
 @query("""SELECT doc_id, max(k_score) AS score, any_value(lang) AS lang FROM (SELECT doc_id, lang, (length(part) - length(replace(part, 'e', ''))) / greatest(length(part), 1)::DOUBLE AS k_score FROM
 (SELECT doc_id, lang, substring(text, k * 192 + 1, 256) AS part FROM (SELECT doc_id, lang, text, unnest(range(0, CAST(greatest(ceil((length(text) - 256) / 192.0), 0) AS BIGINT) + 1)) AS k FROM documents))) GROUP BY doc_id""")
 def doc_max_score(t: Tables) -> DataFrame:
-    w = windows.build_windows(t.documents.select("doc_id", "lang", "text")).withColumn("dedup_excluded", F.lit(False))
+    """The score is a function of the window's own text: it is computed where the window is cut, and nothing is joined."""
+    return metrics.pooled_scores(letter_share(windows.build_windows(t.documents.select("doc_id", "lang", "text"))).withColumn("dedup_excluded", F.lit(False)), ["lang"])
+
+
+def letter_share(w: DataFrame) -> DataFrame:
     n = F.length("text")
-    s = w.select("window_id", ((n - F.length(F.replace(F.col("text"), F.lit("e"), F.lit("")))) / F.greatest(n, F.lit(1))).alias("score"))
-    return metrics.doc_scores(w, s, ["lang"])
+    return w.withColumn("score", (n - F.length(F.replace(F.col("text"), F.lit("e"), F.lit("")))) / F.greatest(n, F.lit(1)))
+
+
+@query("""SELECT conv_id * 1000 + turn AS doc_id, max(k_score) AS score FROM (SELECT conv_id, turn, (length(part) - length(replace(part, 'e', ''))) / greatest(length(part), 1)::DOUBLE AS k_score FROM
+(SELECT conv_id, turn, substring(text, k * 192 + 1, 256) AS part FROM (SELECT conv_id, turn, text, unnest(range(0, CAST(greatest(ceil((length(text) - 256) / 192.0), 0) AS BIGINT) + 1)) AS k FROM conversations))) GROUP BY 1""")
+def turn_max_score(t: Tables) -> DataFrame:
+    """The same with the scores in a table of their own, as detectors store them."""
+    w = windows.build_windows(t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")).withColumn("dedup_excluded", F.lit(False))
+    return metrics.doc_scores(w.drop("text"), letter_share(w).select("window_id", "score"), [])
 
 
 @query("SELECT lang, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg, round(auc, 9) AS auc FROM " + AUC_SQL.format(by="lang", rows=SCORED))
