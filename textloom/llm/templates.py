@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import neardup, sieve
@@ -49,27 +49,26 @@ COPIES = {"words": 5, "percent": 80, "each": 5, "miss": 5e-3, "tensored": False}
 _DIGIT = re.compile(r"\d")
 
 
-def masked_tokens(tokens: list[str]) -> list[str]:
-    return [ANY if _DIGIT.search(t) else t for t in tokens]
-
-
-def leaf_of(tokens: list[str]) -> int:
-    """The tree's leaf: number of tokens and the first ``DEPTH``, variable if they have a digit."""
-    return _long(f"{len(tokens)} {' '.join(masked_tokens(tokens[:DEPTH]))}")
-
-
 def parse(line: str) -> tuple[int, int, int, str] | None:
-    """(number of tokens, leaf, hash of the masked line, masked line); None for a blank line."""
+    """(number of tokens, leaf, hash of the masked line, masked line), hashes unsigned; None for a blank line.
+
+    The leaf: the number of tokens and the first ``DEPTH``; tokens with a digit are variable.
+    """
     tokens = line.split()
     if not tokens:
         return None
-    masked = " ".join(masked_tokens(tokens) if _DIGIT.search(line) else tokens)
-    return len(tokens), leaf_of(tokens), _long(masked), masked
+    if _DIGIT.search(line):
+        tokens = [ANY if _DIGIT.search(t) else t for t in tokens]
+    masked = " ".join(tokens)
+    return len(tokens), _hash(f"{len(tokens)} {' '.join(tokens[:DEPTH])}"), _hash(masked), masked
 
 
-def _long(text: str) -> int:
-    h = xxhash.xxh64_intdigest(text.encode())
-    return h - (1 << 64) if h >> 63 else h
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode())
+
+
+def _longs(hashes: list[int]) -> np.ndarray:
+    return np.array(hashes, dtype=np.uint64).view(np.int64)
 
 
 def need(n: str | Column = "n") -> Column:
@@ -85,48 +84,45 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole, seen = _long(text), set()
+            at, rows, whole = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                seen = set()
+                whole.append(_hash(text))
                 for k, line in enumerate(text.split("\n")):
                     if got := parse(line):
                         n, leaf, mask, _ = got
-                        rows.append((doc, k, n, leaf, mask, mask not in seen, whole))
+                        at.append(i)
+                        rows.append((k, n, leaf, mask, mask not in seen))
                         seen.add(mask)
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "line", "n", "leaf", "mask", "fresh", "whole"])
+                line_of, n, leaf, mask, fresh = zip(*rows, strict=True)
+                own = pa.array(at)
+                columns = [batch.column(0).take(own), pa.array(line_of, pa.int32()), pa.array(n, pa.int32()), pa.array(_longs(leaf)), pa.array(_longs(mask)), pa.array(fresh, pa.bool_()), pa.array(_longs(whole)).take(own)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "leaf", "mask", "fresh", "whole"])
 
     return texts(docs).where("doc_id is not null").mapInArrow(tidy(run), "doc_id long, line int, n int, leaf long, mask long, fresh boolean, whole long")
 
 
-def masked_lines(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(leaf, mask, masked) of the distinct lines in ``leaves``."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve.build(leaves.select("leaf"), leaves.count()))  # 4 MB at most
-    bound_batches(docs.sparkSession)
+def masked_lines(docs: DataFrame, leaves: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (leaf, mask, holder, ...) with masked, the line itself, read from a document that holds it."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((sieve.build(leaves.select("leaf"), leaves.count()), sieve.build(wanted.select("holder"), wanted.count())))  # 4 MB each at most
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        of_leaf, of_doc = shared.value
         for batch in batches:
-            lines = [tokens for text in batch.column(1).to_pylist() for line in text.split("\n") if (tokens := line.split())]
+            held = batch.column(1).take(pa.array(np.flatnonzero(of_doc.passes(batch.column(0).to_numpy(zero_copy_only=False)))))
+            lines = [got for text in held.to_pylist() for line in text.split("\n") if (got := parse(line))]
             if not lines:
                 continue
-            keep = []
-            leaves_of = [leaf_of(tokens) for tokens in lines]
-            for i in np.flatnonzero(shared.value.passes(np.array(leaves_of, dtype=np.int64))).tolist():
-                masked = " ".join(masked_tokens(lines[i]))
-                mask = _long(masked)
-                if mask not in seen:
-                    seen.add(mask)
-                    keep.append((leaves_of[i], mask, masked))
-            if len(seen) > 200_000:
-                seen.clear()
-            if keep:
-                leaf, mask, masked = zip(*keep, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(mask, pa.int64()), pa.array(masked, pa.string())], ["leaf", "mask", "masked"])
+            _, leaf, mask, masked = zip(*lines, strict=True)
+            keep = np.unique(_longs(mask), return_index=True)[1]
+            keep = pa.array(keep[of_leaf.passes(_longs(leaf)[keep])])
+            yield pa.RecordBatch.from_arrays([pa.array(_longs(leaf)).take(keep), pa.array(_longs(mask)).take(keep), pa.array(masked, pa.string()).take(keep)], ["leaf", "mask", "masked"])
 
     rows = texts(docs).where("doc_id is not null").mapInArrow(tidy(run), "leaf long, mask long, masked string")
-    return rows.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["leaf", "mask"])
+    return rows.join(wanted, ["leaf", "mask"]).dropDuplicates(["leaf", "mask"])
 
 
 def levels(size: str) -> Column:
@@ -135,27 +131,24 @@ def levels(size: str) -> Column:
     return F.array_append(F.transform(F.sequence(F.lit(0), halvings), lambda k: F.col(size) / F.pow(F.lit(2.0), k)), need().cast("double"))
 
 
-def _level(least: Column) -> Column:
-    held = F.filter("own", lambda x: x["times"] >= least)
-    return F.struct(
-        F.size(F.filter(held, lambda x: x["literal"])).cast("long").alias("constants"), F.xxhash64(F.transform(held, lambda x: F.struct(x["place"], x["token"]))).alias("places")
-    )
-
-
 def find_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, line) of the lines to drop, and (template, n, docs, constants, kinds, example) of the recurring templates."""
     lines = settle(parsed_lines(docs), "lines")
-    groups = settle(lines.groupBy("leaf", "mask", "n").agg(F.sum(F.col("fresh").cast("long")).alias("docs")), "groups")
-    leaves = settle(groups.groupBy("leaf", "n").agg(F.sum("docs").alias("size")).where(F.col("size") >= need()), "leaves")
-    held = settle(masked_lines(docs, leaves).join(groups, ["leaf", "mask"]), "masked")
-    forget(groups)
+    groups = settle(lines.groupBy("leaf", "mask", "n").agg(F.sum(F.col("fresh").cast("long")).alias("docs"), F.min("doc_id").alias("holder")), "groups")
+    leaves = settle(groups.groupBy("leaf", "n").agg(F.sum("docs").alias("size")).where(F.col("size") >= need()).withColumn("levels", levels("size")), "leaves")
+    wanted = settle(groups.join(leaves.select("leaf"), "leaf", "left_semi"), "wanted")
+    held = settle(masked_lines(docs, leaves, wanted).drop("holder"), "masked")
+    forget(groups, wanted)
 
     places = held.select("leaf", "mask", "n", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token")).withColumn("literal", F.col("token") != ANY).withColumn("token", F.xxhash64("token"))
-    constant = places.groupBy("leaf", "place", "token", "n").agg(F.sum("docs").alias("times")).where(F.col("times") >= need())
-    constant = settle(constant.join(leaves, ["leaf", "n"]).select("leaf", "place", "token", "times", "size"), "constants")
-    fixed = places.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "mask", "n", "size").agg(F.array_sort(F.collect_list(F.struct("place", "token", "literal", "times"))).alias("own"))
-    named = fixed.select("leaf", "mask", "n", F.explode(F.array_distinct(F.transform(levels("size"), _level))).alias("level")).select("leaf", "mask", "n", "level.*")
-    named = named.where(F.col("constants") >= SHARE * F.col("n")).select("leaf", "mask", "n", "constants", F.xxhash64("leaf", "places").alias("template"))
+    constant = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("times"), F.max("n").alias("n")).where(F.col("times") >= need())
+    constant = constant.join(leaves.drop("n"), "leaf").withColumn("times", F.col("times").cast("double"))
+    constant = settle(constant.select("leaf", "place", "token", F.size(F.filter("levels", lambda least: least > F.col("times"))).alias("level")), "constants")
+    # what each level adds to the constants of a line, then the sums from the first level on: a place is in one sum only
+    added = places.drop("docs").join(constant, ["leaf", "place", "token"]).groupBy("leaf", "mask", "n", "level").agg(F.sum(F.col("literal").cast("long")).alias("constants"), F.bit_xor(F.xxhash64("place", "token")).alias("places"))
+    so_far = Window.partitionBy("leaf", "mask").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = added.select("leaf", "mask", "n", F.sum("constants").over(so_far).alias("constants"), F.bit_xor("places").over(so_far).alias("places"))
+    named = named.where(F.col("constants") >= SHARE * F.col("n")).select("leaf", "mask", "n", "constants", F.xxhash64("leaf", "constants", "places").alias("template"))
     named = settle(named, "named")
     forget(constant, leaves)
     found = settle(lines.select("doc_id", "line", "leaf", "mask", "whole").join(named, ["leaf", "mask"]).select("doc_id", "line", "template", "n", "constants", "whole"), "found")
