@@ -52,7 +52,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: The stages train a model, hash and tokenize: SQL can't express them; tests/llm/test_pipeline.py has brute force.
+#: The stages train a model, hash and tokenize: SQL can't express them; test_pipeline in tests/llm/test_dedup.py checks them, near-dedup by brute force.
 ORACLE_SQL = None
 
 
