@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import arguments, hashing, spans
 from textloom.functions import text as X
-from textloom.operators import features, labels, windows
+from textloom.operators import audit, features, labels, metrics, windows
 
 TEXTS = ["Hello Wörld", "", "ab", "漢字漢字 test 😀😀x", "ÀÉ a", "abcabcabc" * 3]
 
@@ -102,3 +102,14 @@ def test_stems_and_names(spark):
     assert [r[0] for r in df.select(X.stemmed(F.col("w"))).collect()] == [X.stem(w) for w in words] == ["forgett", "bypass", "print", "class", "cake", "does", "rated", "polici", "ing", "uses"]
     assert set(X.inflected("policy")) >= {"policy", "policies", "policied", "policying"} and set(X.inflected("print")) >= {"printing", "printed", "prints", "printting"}
     assert X.inflected("the") == ["the"] and X.name_runs("Hi. Dear John Smith, (Mary Ann Lee) x.John Bo") == ["John Smith", "Mary Ann Lee", "John Bo"]
+
+
+def test_modal_status_and_mean_curves(spark):
+    seen = {"a": ["no", "yes", "yes", "no"], "b": ["odd", "yes"], "c": ["yes"] * 4 + ["no"]}
+    ranks = {"no": 0, "yes": 2}
+    rows = spark.createDataFrame([(h, 10 + i, s) for h, x in seen.items() for i, s in enumerate(x)], "h string, seed long, status string")
+    got = {r["h"]: (r["status"], r["n"], r["n_seeds"], r["representative"]) for r in audit.modal_status(rows, ["h"], ranks).collect()}
+    assert got == {"a": ("no", 2, 4, 13), "b": ("odd", 1, 2, 10), "c": ("yes", 4, 5, 12)}
+    points = [("x", 0.1, 0.5), ("x", 0.1, 0.7), ("x", 0.1, float("nan")), ("x", 0.1 + 1e-12, 0.9), ("x", 0.2, None), ("x", float("inf"), 1.0), ("y", 0.2, 1.0)]
+    curves = metrics.mean_curves(spark.createDataFrame(points, "d string, fpr double, tpr double"), ["d"])
+    assert {(r["d"], r["fpr"]): (round(r["tpr"], 12), r["n"]) for r in curves.collect()} == {("x", 0.1): (0.7, 3), ("y", 0.2): (1.0, 1)}

@@ -141,3 +141,18 @@ def json_leaves(c: Column) -> Column:
         return s.map(lambda t: [] if t is None else walk(json.loads(t)))
 
     return F.pandas_udf(run, "array<struct<path:string,value:string>>")(c)
+
+
+def modal_status(rows: DataFrame, by: list[str], ranks: dict[str, int]) -> DataFrame:
+    """The status that most seeds of a group have, ties to the least rank (-1 if it has none), then by name.
+
+    ``rows``: (*by, seed, status), one row a seed.  representative: the middle seed with that status, the upper of two.
+    """
+    rank = F.lit(-1)
+    for status, r in ranks.items():
+        rank = F.when(F.col("status") == status, r).otherwise(rank)
+    counts = rows.groupBy(*by, "status").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("seed")).alias("seeds"))
+    best = F.min_by(F.struct("status", "n", "seeds"), F.struct(-F.col("n"), rank, "status"))
+    top = counts.groupBy(*by).agg(best.alias("top"), F.sum("n").alias("n_seeds"))
+    middle = F.element_at("top.seeds", F.floor(F.size("top.seeds") / 2).cast("int") + 1)
+    return top.select(*by, "top.status", F.col("top.n").alias("n"), "n_seeds", middle.alias("representative"))

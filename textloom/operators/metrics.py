@@ -63,6 +63,12 @@ def roc_grid(rows: DataFrame, by: list[str], grid: list[float]) -> DataFrame:
     return hit.select(*by, F.col("g").alias("fpr"), F.least(F.lit(1.0), value).alias("tpr"))
 
 
+def mean_curves(points: DataFrame, by: list[str]) -> DataFrame:
+    """Curves averaged over their repetitions: the mean of the finite ``tpr`` at each ``fpr`` (to 9 decimals)."""
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("fpr", "tpr")]
+    return points.where(finite[0] & finite[1]).groupBy(*by, F.round("fpr", 9).alias("fpr")).agg(F.avg("tpr").alias("tpr"), F.count("tpr").alias("n"))
+
+
 def tau_fpr(rows: DataFrame, by: list[str], target: float) -> DataFrame:
     """The smallest negative score that no more than ``target`` of the negatives reach, else the next number above all."""
     w = Window.partitionBy(*by)
