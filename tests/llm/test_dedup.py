@@ -201,6 +201,17 @@ def test_templates_are_brute_force(spark):
     assert want and {(r["doc_id"], r["line"]) for r in drops.collect()} == want
 
 
+def test_examples_and_leaves_of_one_line(spark):
+    """A line that never varies is alone in its leaf: it has all its tokens constant, but those with a digit."""
+    header, few = "all of this is constant but 17 here", "only 1 2 3 4 constant"
+    docs = [(i, f"{header}\n{few}\nown text of w{i}x and v{i}y stays {'abcdefghij'[i]} {'klmnopqrst'[i]}") for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    drops, found = templates.find_templates(df)
+    assert {(r["doc_id"], r["line"]) for r in drops.collect()} == {(i, 0) for i in range(10)}
+    (row,) = templates.examples(df, found).collect()
+    assert (row["n"], row["constants"], row["docs"], row["kinds"], row["example"], tuple(row["at"])) == (8, 7, 10, 10, header, (0, 0))
+
+
 def test_templates_of_copies_and_blocks(spark):
     rng = random.Random(7)
     own = lambda: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(12))

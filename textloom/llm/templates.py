@@ -15,7 +15,8 @@ nearly all of their text.  A template in enough components goes from all documen
 
 A leaf is never gathered: constants are counted by (leaf, place, token), templates by their hash, so that the order of
 lines doesn't matter and a leaf with a third of all lines is summed like any other.  Leaves that too few documents
-reach are left out before any text is moved.
+reach are left out before any text is moved, and a leaf of one line has all of it constant: only leaves of several
+lines are counted by place.
 
 Defined results: null and empty texts, and blank lines, have no template and stay; a line is what stands between
 newlines, however long; repeated rows (equal doc_id) count as one document and lose the same lines; a token that
@@ -76,9 +77,9 @@ def need(n: str | Column = "n") -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, n, leaf, mask, fresh, whole) of all lines that are not blank.
+    """(doc_id, line, n, literals, leaf, mask, fresh, whole) of all lines that are not blank.
 
-    fresh: the first such line of its row; whole: a hash of the row's text.
+    literals: tokens without a digit; fresh: the first such line of its row; whole: a hash of the row's text.
     """
     bound_batches(docs.sparkSession)
 
@@ -90,17 +91,17 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
                 whole.append(_hash(text))
                 for k, line in enumerate(text.split("\n")):
                     if got := parse(line):
-                        n, leaf, mask, _ = got
+                        n, leaf, mask, masked = got
                         at.append(i)
-                        rows.append((k, n, leaf, mask, mask not in seen))
+                        rows.append((k, n, n - masked.split(" ").count(ANY) if ANY in masked else n, leaf, mask, mask not in seen))
                         seen.add(mask)
             if rows:
-                line_of, n, leaf, mask, fresh = zip(*rows, strict=True)
+                line_of, n, literals, leaf, mask, fresh = zip(*rows, strict=True)
                 own = pa.array(at)
-                columns = [batch.column(0).take(own), pa.array(line_of, pa.int32()), pa.array(n, pa.int32()), pa.array(_longs(leaf)), pa.array(_longs(mask)), pa.array(fresh, pa.bool_()), pa.array(_longs(whole)).take(own)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "leaf", "mask", "fresh", "whole"])
+                columns = [batch.column(0).take(own), pa.array(line_of, pa.int32()), pa.array(n, pa.int32()), pa.array(literals, pa.int32()), pa.array(_longs(leaf)), pa.array(_longs(mask)), pa.array(fresh, pa.bool_()), pa.array(_longs(whole)).take(own)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "literals", "leaf", "mask", "fresh", "whole"])
 
-    return texts(docs).where("doc_id is not null").mapInArrow(tidy(run), "doc_id long, line int, n int, leaf long, mask long, fresh boolean, whole long")
+    return texts(docs).where("doc_id is not null").mapInArrow(tidy(run), "doc_id long, line int, n int, literals int, leaf long, mask long, fresh boolean, whole long")
 
 
 def masked_lines(docs: DataFrame, leaves: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -132,13 +133,17 @@ def levels(size: str) -> Column:
 
 
 def find_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line) of the lines to drop, and (template, n, docs, constants, kinds, example) of the recurring templates."""
+    """(doc_id, line) of the lines to drop, and (template, n, docs, constants, kinds, at) of the recurring templates; at: (doc_id, line) of one such line."""
     lines = settle(parsed_lines(docs), "lines")
-    groups = settle(lines.groupBy("leaf", "mask", "n").agg(F.sum(F.col("fresh").cast("long")).alias("docs"), F.min("doc_id").alias("holder")), "groups")
-    leaves = settle(groups.groupBy("leaf", "n").agg(F.sum("docs").alias("size")).where(F.col("size") >= need()).withColumn("levels", levels("size")), "leaves")
-    wanted = settle(groups.join(leaves.select("leaf"), "leaf", "left_semi"), "wanted")
+    groups = settle(lines.groupBy("leaf", "mask", "n").agg(F.sum(F.col("fresh").cast("long")).alias("docs"), F.min("doc_id").alias("holder"), F.max("literals").alias("literals")), "groups")
+    # a leaf of one line (masks = 1) has all of it constant on the first level: nothing to count by place
+    reached = settle(groups.groupBy("leaf", "n").agg(F.sum("docs").alias("size"), F.count("*").alias("masks")).where(F.col("size") >= need()), "reached")
+    alone = groups.join(reached.where("masks = 1").select("leaf"), "leaf", "left_semi").where(F.col("literals") >= SHARE * F.col("n"))
+    alone = settle(alone.select("leaf", "mask", "n", F.col("literals").cast("long").alias("constants"), F.xxhash64("leaf", "literals", "mask").alias("template")), "alone")
+    leaves = settle(reached.where("masks > 1").drop("masks").withColumn("levels", levels("size")), "leaves")
+    wanted = settle(groups.drop("literals").join(leaves.select("leaf"), "leaf", "left_semi"), "wanted")
     held = settle(masked_lines(docs, leaves, wanted).drop("holder"), "masked")
-    forget(groups, wanted)
+    forget(groups, reached, wanted)
 
     places = held.select("leaf", "mask", "n", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token")).withColumn("literal", F.col("token") != ANY).withColumn("token", F.xxhash64("token"))
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("times"), F.max("n").alias("n")).where(F.col("times") >= need())
@@ -149,10 +154,10 @@ def find_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     so_far = Window.partitionBy("leaf", "mask").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     named = added.select("leaf", "mask", "n", F.sum("constants").over(so_far).alias("constants"), F.bit_xor("places").over(so_far).alias("places"))
     named = named.where(F.col("constants") >= SHARE * F.col("n")).select("leaf", "mask", "n", "constants", F.xxhash64("leaf", "constants", "places").alias("template"))
-    named = settle(named, "named")
-    forget(constant, leaves)
+    named = settle(named.union(alone), "named")
+    forget(constant, leaves, alone, held)
     found = settle(lines.select("doc_id", "line", "leaf", "mask", "whole").join(named, ["leaf", "mask"]).select("doc_id", "line", "template", "n", "constants", "whole"), "found")
-    forget(lines)
+    forget(lines, named)
     # different texts are at least as many as components: templates with too few need none
     likely = settle(found.groupBy("template", "n").agg(F.count_distinct("whole").alias("texts")).where(F.col("texts") >= need()).select("template"), "likely")
     held_by = settle(found.join(likely, "template").select("doc_id", "line", "template", "n", "constants"), "held")
@@ -160,12 +165,17 @@ def find_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     among = settle(held_by.select("doc_id").distinct(), "among")
     copies = neardup.near_duplicates(docs, **COPIES, among=among).groupBy("doc_id").agg(F.min("component_id").alias("component"))
     across = held_by.join(settle(copies, "copies"), "doc_id").groupBy("template", "n").agg(
-        F.count_distinct("doc_id").alias("docs"), F.count_distinct("component").alias("kinds"), F.max("constants").alias("constants")
+        F.count_distinct("doc_id").alias("docs"), F.count_distinct("component").alias("kinds"), F.max("constants").alias("constants"), F.min(F.struct("doc_id", "line")).alias("at")
     )
     recurring = settle(across.where(F.col("kinds") >= need()), "recurring")
     drops = held_by.join(recurring.select("template"), "template").select("doc_id", "line").distinct()
-    examples = named.join(held.select("leaf", "mask", "masked"), ["leaf", "mask"]).groupBy("template").agg(F.min("masked").alias("example"))
-    return drops, recurring.join(examples, "template")
+    return drops, recurring
+
+
+def examples(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """``templates`` of ``find_templates`` with example, a line of each as it stands in ``docs``; of rows with one id, the least such line."""
+    lines = templates.select("template", "at.*").join(texts(docs), "doc_id").groupBy("template").agg(F.min(F.get(F.split("text", "\n"), F.col("line"))).alias("example"))
+    return templates.join(lines, "template")
 
 
 def _without(text: pd.Series, drops: pd.Series) -> pd.DataFrame:
