@@ -205,3 +205,34 @@ def test_catalogue_draws_are_the_references():
     assert evaluation.DRAWS == settings.BOOTSTRAPS == 1000
     for name in ("cluster_bootstrap_rate", "bootstrap_auc_ci", "macro_auc_ci", "paired_diff_p"):
         assert "range(1000)" in plans.ORACLE_SQL[name]
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    """Odd vectors against the definition, row by row; what meets are blocks of vectors, not rows."""
+    nan, rng = float("nan"), np.random.default_rng(5)
+    odd = [None, [0.0] * 3, [None, 1.0, 0.0], [nan, 1.0, 0.0], [float("inf"), 1.0, 0.0], [1.0, 2.0], [], [1e-30] * 3, [2.0, 2.0, 2.0], [-1.0, -1.0, -1.0]]
+    drawn = [[float(x) for x in v] for v in rng.integers(-2, 3, (150, 3))] + [[float(x) for x in v] for v in rng.normal(size=(150, 3)).astype(np.float32)]
+    vectors = [*odd, *drawn, *([[1.0, 2.0, 3.0]] * 40)]
+    rows = [(f"é{i % 7}" if i % 50 == 3 else f"v{i * 7919 % 1000:03d}", v) for i, v in enumerate(vectors)]
+    q = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows[::3] + rows[:10])], "q int, embedding array<float>")
+    r = spark.createDataFrame(rows, "r string, embedding array<float>")
+
+    def unit(df, key, name):
+        v = F.transform("embedding", lambda e: e.cast("double"))
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + e * e))
+        return df.select(key, F.when(norm > 0, F.transform(v, lambda e: e / norm)).otherwise(v).alias(name))
+
+    sim = F.round(F.aggregate(F.zip_with("qv", "rv", lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e), 9)
+    found: dict = {}
+    for x in unit(q, "q", "qv").crossJoin(unit(r, "r", "rv")).select("q", "r", sim.alias("sim")).collect():
+        found.setdefault(x.q, []).append((x.sim is not None, x.sim, x.r))
+    key = lambda t: (not t[0], 0.0 if t[1] is None else -math.inf if t[1] != t[1] else -t[1], t[2].encode())
+    expected = {(i, n + 1, t[2], str(t[1])) for i, own in found.items() for n, t in enumerate(sorted(own, key=key)[:5])}
+    for block in (64, 8192):
+        monkeypatch.setattr(models, "BLOCK", block)
+        got = models.knn(q, r, "q", "r", "embedding", 5)
+        assert got.columns == ["q", "r", "sim", "rank"]
+        assert {(x.q, x["rank"], x.r, str(x.sim)) for x in got.collect()} == expected
+    assert models.knn(q.limit(0), r, "q", "r", "embedding", 5).count() == models.knn(q, r.limit(0), "q", "r", "embedding", 5).count() == 0
+    many = spark.range(20_000).select(F.col("id").alias("r"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    assert models._blocks(many, "r", "embedding").count() == 3
