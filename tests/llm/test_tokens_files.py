@@ -151,3 +151,23 @@ def test_media(spark, odd, none, tmp_path):
     assert sorted((r["doc_id"], bytes(r["samples"])) for r in got) == sorted((r["doc_id"], transport.payload(r["text"] or "")) for r in odd.collect())
     transport.write_media(none, str(tmp_path / "e"))
     assert transport.read_media(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_caches_of_the_encoder_are_small(monkeypatch):
+    """A corpus of many different words leaves its Python worker small, and a full cache changes no id."""
+    import sys
+
+    import pyarrow as pa
+    from textloom.llm import tokens
+
+    enc = tokens.Encoder(tokens.vocabulary_path())
+    words = [f"{chr(97 + i % 26)}{i * 7919 % 250_007:x}q{chr(97 + i % 23)}" for i in range(150_000)]
+    for a in range(0, len(words), 10_000):
+        enc.column(pa.array([" ".join(words[a : a + 10_000])]))
+    held = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in (enc.words, enc.pieces))
+    assert held < 20 << 20
+    monkeypatch.setattr(tokens, "MOST_WORDS", 3)
+    monkeypatch.setattr(tokens, "MOST_PIECES", 5)
+    text = " ".join(words[-50:]) + " the cat's 12 hats, déjà-vu"
+    full = tokens.Encoder(tokens.vocabulary_path())
+    assert [full.encode(text), enc.encode(text)] == [enc._library(text)] * 2

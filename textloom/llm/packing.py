@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, settle, texts, tidy
 from .tokens import encoder
 
+SLICE = 256  # texts that are encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,7 +35,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(vocabulary) as enc:
-            for batch in batches:
+            for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
                 ids, limits = enc.column(batch.column(1))
                 rows: list[tuple] = []
                 for doc, a, b in zip(batch.column(0).to_pylist(), limits[:-1].tolist(), limits[1:].tolist(), strict=True):

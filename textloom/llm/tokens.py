@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_WORDS, MOST_PIECES = 200_000, 300_000  # in the caches, some 80 MB, which a task releases at its end
+MOST_WORDS, MOST_PIECES = 30_000, 60_000  # in the caches, some 20 MB, which a task releases at its end; frequent words come early
 MOST_LETTERS = 64  # of a word or piece in a cache
 
 #: The pre-token pattern of word_bpe_49k.json, spelt out for lower-case Latin-1 (a fixed value of that vocabulary).
